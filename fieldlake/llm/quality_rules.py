@@ -39,7 +39,7 @@ class Rule:
 RULES = (
     Rule("mean word length", "word_chars", "n_words", low=200, high=1500),
     Rule("symbols to words", "n_symbols", "n_words", high=10),
-    Rule("repeated lines", "n_dup_lines", "n_lines", high=30),
+    Rule("repeated lines", "n_dup_lines", "n_lines", high=50),
     Rule("stop words to words", "n_stop_words", "n_words", low=2),
 )
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from .base import Tables, query
 
-_ROWS = "select event_id, user_id, event_type, value, ts, case when event_id % 17 = 0 then 'nan' when event_id % 19 = 0 then '' else cast(least(cast(round(value * 100) as bigint), 10000) as decimal(9,0)) / 10000.0 end"
 _DUCK = """(select event_id, user_id, event_type, ts, value,
  case when event_id % 17 = 0 then 'nan' when event_id % 19 = 0 then '' else printf('0.%04d', least(cast(round(value * 10) as bigint), 9999)) end as score,
  try_cast(case when event_id % 17 = 0 or event_id % 19 = 0 then null else printf('0.%04d', least(cast(round(value * 10) as bigint), 9999)) end as decimal(38,30)) as d from events)"""
@@ -78,15 +77,11 @@ def group_counts(t: Tables):
     return t.events.groupBy("event_type", (F.col("user_id") % 3).alias("site")).agg(F.count("*").alias("n"))
 
 
-@query("monthly_counts", "select strftime(o_orderdate, '%Y-%m') as month, count(*) as n, sum(o_totalprice) as total from orders group by 1")
+@query("monthly_counts", "select strftime(o_orderdate, '%Y-%m') as month, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by 1")
 def monthly_counts(t: Tables):
     return t.orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total")).withColumn("total", F.round("total", 2))
 
 
-monthly = "select strftime(o_orderdate, '%Y-%m') as month, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by 1"
-query("monthly_counts", monthly)(monthly_counts)
-
-
 @query("duration_hist", "select round(l_quantity, 0) as duration, count(*) as n from lineitem group by 1")
 def duration_hist(t: Tables):
     return t.lineitem.groupBy(F.round("l_quantity", 0).alias("duration")).agg(F.count("*").alias("n"))

@@ -26,7 +26,7 @@ def json_extract(t: Tables):
 @query("merge_precedence", "select o_orderkey, coalesce(c.c_name, o_orderstatus) as name, coalesce(c.c_acctbal, o_totalprice) as amount from orders left join (select * from customer where c_custkey % 3 = 0) c on o_custkey = c_custkey")
 def merge_precedence(t: Tables):
     right = t.customer.where("c_custkey % 3 = 0")
-    return t.orders.join(right, t.orders["o_custkey"] == right["c_custkey"], "left").select("o_orderkey", F.coalesce("c_name", "o_orderstatus").alias("name"), F.coalesce("c_acctbal", "o_totalprice").alias("amount"))
+    return t.orders.join(right, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce("c_name", "o_orderstatus").alias("name"), F.coalesce("c_acctbal", "o_totalprice").alias("amount"))
 
 
 @query("range_grid", "select cast(i as bigint) as i, round(i * 0.002, 3) as threshold from range(0, 10) r(i) union all select cast(10 + i as bigint), round(0.02 + i * 0.01, 3) from range(0, 9) r(i)")
@@ -44,7 +44,7 @@ def column_profile(t: Tables):
 
 @query("parse_int_list", "select page_id, cast(x as bigint) as number, count(*) as n from (select page_id, unnest(regexp_extract_all(url, '[0-9]+')) as x from pages) group by 1, 2")
 def parse_int_list(t: Tables):
-    return t.pages.select("page_id", F.explode(F.regexp_extract_all("url", F.lit(r"(\d+)"), 1)).cast("long").alias("number")).groupBy("page_id", "number").agg(F.count("*").alias("n"))
+    return t.pages.select("page_id", F.explode(F.regexp_extract_all("url", F.lit(r"(\d+)"), 1)).alias("x")).groupBy("page_id", F.col("x").cast("long").alias("number")).agg(F.count("*").alias("n"))
 
 
 @query("site_token", "select page_id, split_part(url, '/', 3) as site, split_part(split_part(url, '/', 3), '.', 1) as first_token, split_part(url, '/', -1) as last_token from pages")

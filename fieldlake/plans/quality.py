@@ -52,9 +52,9 @@ def duplicate_status(t: Tables):
 
 
 @query("normalize_annotations", """select l_orderkey, l_linenumber, case when l_quantity is null then 'invalid_numeric' when d > 1 then 'duplicate_view' when l_discount <= 0 then 'nonpositive_duration' when l_quantity > 45 + 1e-4 then 'out_of_bounds' when l_discount > 0.08 then 'duration_outside_limits' end as reason
-from (select *, row_number() over (partition by l_orderkey, l_returnflag, l_linestatus order by l_linenumber) as d from lineitem)""")
+from (select *, row_number() over (partition by l_orderkey, l_returnflag, l_linestatus order by l_linenumber, l_partkey, l_suppkey) as d from lineitem)""")
 def normalize_annotations(t: Tables):
-    rows = R.occurrence(t.lineitem, ["l_orderkey", "l_returnflag", "l_linestatus"], ["l_linenumber"], "d")
+    rows = R.occurrence(t.lineitem, ["l_orderkey", "l_returnflag", "l_linestatus"], ["l_linenumber", "l_partkey", "l_suppkey"], "d")
     c = F.col
     return rows.select("l_orderkey", "l_linenumber", X.first_reason((c("l_quantity").isNull(), "invalid_numeric"), (c("d") > 1, "duplicate_view"), (c("l_discount") <= 0, "nonpositive_duration"), (c("l_quantity") > 45 + 1e-4, "out_of_bounds"), (c("l_discount") > 0.08, "duration_outside_limits")).alias("reason"))
 

@@ -80,8 +80,8 @@ def cut(total: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def _tokenised(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
-        for at, to, found, offsets in token_arrays(batch.column(1), path):
+        rows, ids = batch.column(0), batch.column(1)
+        for at, to, found, offsets in token_arrays(batch.column(2), path):
             n = to - at
             whole = np.full(len(found) + n, end_id, dtype="<u4")
             total = np.diff(offsets) + 1
@@ -91,13 +91,14 @@ def _tokenised(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id:
             row, piece, start, length = cut(total, size)
             ends = np.concatenate([[0], np.cumsum(length)]) * 4
             blobs = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(whole.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([ids.slice(at, n).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start.astype(np.int64)), pa.array(length.astype(np.int64)), blobs], names=["id", "piece", "start", "length", "ids"])
+            of = pa.array(row)
+            yield pa.RecordBatch.from_arrays([rows.slice(at, n).take(of), ids.slice(at, n).take(of), pa.array(piece.astype(np.int32)), pa.array(start.astype(np.int64)), pa.array(length.astype(np.int64)), blobs], names=["row", "id", "piece", "start", "length", "ids"])
 
 
 def token_pieces(docs: DataFrame, scratch: Scratch, tokenizer_path: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, piece, start, length, ids (little-endian unsigned 32-bit) of every document's ids and end_id; a written table."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return scratch.save(source.mapInArrow(lambda it: _tokenised(it, tokenizer_path, size, end_id), "id long, piece int, start long, length long, ids binary"))
+    """row, id, piece, start, length, ids (little-endian unsigned 32-bit) of every document's ids and end_id; a written table. row numbers the input's rows, with gaps, so that a null or repeated id is no matter."""
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return scratch.save(source.mapInArrow(lambda it: _tokenised(it, tokenizer_path, size, end_id), "row long, id long, piece int, start long, length long, ids binary"))
 
 
 def _packed(batches: Iterator[pa.RecordBatch], size: int, most_open: int, window: int) -> Iterator[pa.RecordBatch]:
@@ -113,7 +114,7 @@ def _packed(batches: Iterator[pa.RecordBatch], size: int, most_open: int, window
         places = np.array([bins.place(x) for x in length[order].tolist()], dtype=np.int64).reshape(-1, 2)
         out = np.empty_like(places)
         out[order] = places
-        return pa.RecordBatch.from_arrays([table.column("id").combine_chunks(), table.column("piece").combine_chunks(), pa.array(out[:, 0] + base), pa.array(out[:, 1])], names=["id", "piece", "sequence_id", "offset"])
+        return pa.RecordBatch.from_arrays([table.column("row").combine_chunks(), table.column("piece").combine_chunks(), pa.array(out[:, 0] + base), pa.array(out[:, 1])], names=["row", "piece", "sequence_id", "offset"])
 
     held, rows = [], 0
     for batch in batches:
@@ -130,16 +131,16 @@ def _packed(batches: Iterator[pa.RecordBatch], size: int, most_open: int, window
 
 
 def assign(pieces: DataFrame, scratch: Scratch, size: int = 2048, most_open: int = OPEN_BINS, task_pieces: int = TASK_PIECES) -> DataFrame:
-    """id, piece, sequence_id, offset of each piece; a written table. The sequences' numbers are unique, with gaps.
+    """row, piece, sequence_id, offset of each piece; a written table. The sequences' numbers are unique, with gaps.
 
     The order in which a task sees its pieces is fixed by a hash, so a task
     that runs again gives the same bins.
     """
-    short = pieces.where(F.col("length") < size).select("id", "piece", "length")
+    short = pieces.where(F.col("length") < size).select("row", "piece", "length")
     parts = -(-short.count() // task_pieces) or 1
-    dealt = short.withColumn("h", F.xxhash64("id", "piece")).repartition(parts, "h").sortWithinPartitions("h", "id", "piece").select("id", "piece", "length")
-    packed = dealt.mapInArrow(lambda it: _packed(it, size, most_open, WINDOW), "id long, piece int, sequence_id long, offset long")
-    full = pieces.where(F.col("length") >= size).select("id", "piece", F.monotonically_increasing_id().alias("k")).select("id", "piece", (-1 - F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    dealt = short.withColumn("h", F.xxhash64("row", "piece")).repartition(parts, "h").sortWithinPartitions("h", "row", "piece").select("row", "piece", "length")
+    packed = dealt.mapInArrow(lambda it: _packed(it, size, most_open, WINDOW), "row long, piece int, sequence_id long, offset long")
+    full = pieces.where(F.col("length") >= size).select("row", "piece", F.monotonically_increasing_id().alias("k")).select("row", "piece", (-1 - F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return scratch.save(packed.union(full))
 
 
@@ -148,7 +149,7 @@ def sequences(pieces: DataFrame, assigned: DataFrame) -> DataFrame:
 
     A sequence holds at most `size` ids, so that no group is large.
     """
-    both = pieces.join(assigned, ["id", "piece"])
+    both = pieces.join(assigned, ["row", "piece"])
     grouped = both.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.array_sort(F.collect_list(F.struct("offset", "id", "ids"))).alias("parts"))
     empty = F.expr("cast('' as binary)")
     return grouped.select("sequence_id", "length", F.col("parts.id").alias("doc_ids"), F.aggregate("parts.ids", empty, lambda a, x: F.concat(a, x)).alias("ids"))

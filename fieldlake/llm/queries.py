@@ -61,8 +61,8 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "packing")
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), scratch, tokenizer_path(), SEQUENCE)
     assigned = packing.assign(pieces, scratch, SEQUENCE)
-    digests = pieces.select("id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return digests.join(assigned, ["id", "piece"]).withColumnRenamed("id", "doc_id")
+    digests = pieces.select("row", F.col("id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return digests.join(assigned, ["row", "piece"]).drop("row")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 #: Patterns, in order, and what replaces them, on lower-cased text. They mean the same in Java's and RE2's regular expressions.
 REWRITES = (
-    (r"(?m)^[\s#/*;%-]*(copyright|\(c\)|©|all rights reserved).*$", ""),
+    (r"(?m)^[\s#/*;%-]*(copyright\s*(\(c\)|©|[0-9]{4}|by\b)|\(c\)\s*(copyright|[0-9]{4})|©|all rights reserved).*$", ""),
     (r"https?://(www\.)?", ""),
     (r"\blicence", "license"),
     (r"\bsub[ -]licens", "sublicens"),

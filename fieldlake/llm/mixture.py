@@ -66,7 +66,7 @@ def shard_counts(quota: np.ndarray, shard_slots: int, seed: int) -> np.ndarray:
             drawn += np.minimum(rng.multinomial(slots - int(drawn.sum()), p / p.sum()), left - drawn)
         out.append(drawn)
         left -= drawn
-    return np.array(out, dtype=np.int64).reshape(-1, len(quota))
+    return np.array(out, dtype=np.int64).reshape(len(out), len(quota))
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -178,6 +178,6 @@ def rendered(docs: DataFrame, fragments: DataFrame, id_col: str = "doc_id", text
     A document that is taken whole keeps its exact text; of another, taken runs of words are lines.
     """
     spans = fragments.groupBy("id", "turn").agg(F.collect_list(F.struct("from", "to")).alias("parts")).withColumnRenamed("id", "__id").drop("turn")
-    both = docs.withColumnRenamed(text_col, "text").join(spans, F.col(id_col) == F.col("__id")).drop("__id")
-    schema = both.drop("parts").schema
-    return both.mapInArrow(_rendered, schema).withColumnRenamed("text", text_col)
+    packed = docs.select(F.col(id_col).cast("long").alias("__own"), F.struct(*[c for c in docs.columns if c != text_col]).alias("rest"), F.col(text_col).alias("text"))
+    both = packed.join(spans, F.col("__own") == F.col("__id")).select("rest", "text", "parts")
+    return both.mapInArrow(_rendered, both.drop("parts").schema).select("rest.*", F.col("text").alias(text_col))

@@ -138,7 +138,8 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     plan = spark.createDataFrame(plan, "shard int, s int, first long, n long").repartition(max(1, min(len(plan), 4 * len(counts))), "shard", "s")
     drawn = plan.select("shard", "s", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"))
     drawn = drawn.mapInArrow(lambda it: _slots(it, blocks, seed), "shard int, s int, slot long, turn long, block long")
-    fragments = held.join(drawn, ["s", "block"]).select("shard", "slot", "turn", "id", "from", "to")
+    # The slots come from a short plan, whose size says nothing about theirs: they must not be broadcast.
+    fragments = held.hint("merge").join(drawn.hint("merge"), ["s", "block"]).select("shard", "slot", "turn", "id", "from", "to")
     return documents.select("id", "source", "size", "source_size", "target"), fragments
 
 

@@ -41,6 +41,7 @@ class Bins:
         self.by_free: list[list[int]] = [[] for _ in range(size + 1)]
         self.bits = 0  # bit f is set if an open bin has f places free
         self.open = self.made = 0
+        self.closed: list[int] | None = None  # where given, gets the numbers of bins that are full or closed
 
     def _take(self, free: int) -> int:
         found = self.by_free[free].pop()
@@ -55,8 +56,10 @@ class Bins:
             found = self._take(free)
         else:
             if self.open == self.most_open:
-                self._take((self.bits & -self.bits).bit_length() - 1)
+                fullest = self._take((self.bits & -self.bits).bit_length() - 1)
                 self.open -= 1
+                if self.closed is not None:
+                    self.closed.append(fullest)
             found, free = self.made, self.size
             self.made, self.open = self.made + 1, self.open + 1
         left = free - length
@@ -65,6 +68,8 @@ class Bins:
             self.bits |= 1 << left
         else:
             self.open -= 1
+            if self.closed is not None:
+                self.closed.append(found)
         return found, self.size - free
 
 
@@ -144,12 +149,43 @@ def assign(pieces: DataFrame, scratch: Scratch, size: int = 2048, most_open: int
     return scratch.save(packed.union(full))
 
 
-def sequences(pieces: DataFrame, assigned: DataFrame) -> DataFrame:
-    """One row per sequence: sequence_id, length, doc_ids and ids, both in order of offset.
+def _whole(batches: Iterator[pa.RecordBatch], size: int, most_open: int, window: int) -> Iterator[pa.RecordBatch]:
+    """Packed sequences with their ids, from pieces with theirs: what _packed() does, with the contents of the open bins at hand."""
+    from pyspark import TaskContext
 
-    A sequence holds at most `size` ids, so that no group is large.
-    """
-    both = pieces.join(assigned, ["row", "piece"])
-    grouped = both.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.array_sort(F.collect_list(F.struct("offset", "id", "ids"))).alias("parts"))
-    empty = F.expr("cast('' as binary)")
-    return grouped.select("sequence_id", "length", F.col("parts.id").alias("doc_ids"), F.aggregate("parts.ids", empty, lambda a, x: F.concat(a, x)).alias("ids"))
+    base = (TaskContext.get().partitionId() + 1) << 40
+    bins, held, closed = Bins(size, most_open), {}, []
+
+    def emit(numbers: list[int]) -> pa.RecordBatch:
+        rows = [held.pop(n) for n in numbers]
+        kind = pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([base + n for n in numbers], type=pa.int64()), pa.array([sum(len(x) for _, x in r) // 4 for r in rows], type=pa.int64()), pa.array([[i for i, _ in r] for r in rows], type=kind), pa.array([b"".join(x for _, x in r) for r in rows], type=pa.binary())], names=["sequence_id", "length", "doc_ids", "ids"])
+
+    bins.closed = closed
+
+    def place(waiting: list[tuple]) -> None:
+        for length, doc, ids in sorted(waiting, key=lambda x: -x[0]):
+            held.setdefault(bins.place(length)[0], []).append((doc, ids))
+
+    waiting: list[tuple] = []
+    for batch in batches:
+        waiting += zip(batch.column("length").to_pylist(), batch.column("id").to_pylist(), batch.column("ids").to_pylist())
+        while len(waiting) >= window:
+            place(waiting[:window])
+            del waiting[:window]
+            if closed:
+                yield emit(closed)
+                closed.clear()
+    place(waiting)
+    numbers = sorted(held)
+    for at in range(0, len(numbers), 512):
+        yield emit(numbers[at : at + 512])
+
+
+def sequences(pieces: DataFrame, size: int = 2048, most_open: int = 2048, task_pieces: int = TASK_PIECES) -> DataFrame:
+    """One row per sequence: sequence_id, length, doc_ids and ids, both in order. The pieces' ids are shuffled once; full pieces are not."""
+    full = pieces.where(F.col("length") >= size).select((-1 - F.monotonically_increasing_id()).alias("sequence_id"), "length", F.array("id").alias("doc_ids"), "ids")
+    short = pieces.where(F.col("length") < size)
+    parts = -(-short.count() // task_pieces) or 1
+    dealt = short.withColumn("h", F.xxhash64("row", "piece")).repartition(parts, "h").sortWithinPartitions("h", "row", "piece").select("id", "length", "ids")
+    return dealt.mapInArrow(lambda it: _whole(it, size, most_open, most_open), "sequence_id long, length long, doc_ids array<long>, ids binary").union(full)

@@ -31,21 +31,19 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        """From here on, Python workers of the session get Arrow batches of about BATCH_BYTES, so that long rows fit in memory."""
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.written = 0
+        key = "spark.sql.execution.arrow.maxBytesPerBatch"
+        if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+            spark.conf.set(key, BATCH_BYTES)
 
-    def save(self, df: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-        """Write and reread df. Python workers get Arrow batches of about batch_bytes meanwhile, so that long rows fit in memory."""
+    def save(self, df: DataFrame) -> DataFrame:
+        """Write and reread df."""
         self.written += 1
         path = f"{self.folder}/{self.written:04d}"
-        key = "spark.sql.execution.arrow.maxBytesPerBatch"
-        before = self.spark.conf.get(key)
-        self.spark.conf.set(key, batch_bytes)
-        try:
-            df.write.parquet(path)
-        finally:
-            self.spark.conf.set(key, before)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._fieldlake_path = path
         return out

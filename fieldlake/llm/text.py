@@ -23,7 +23,7 @@ BYTE_CODES = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 MULTIPLIERS = _random.integers(1, 1 << 63, 8, dtype=np.uint64) * U(2) + U(1)
 
 #: Bytes of text handled at once inside a batch; a longer text is a piece of its own.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 _powers = np.ones(1, dtype=np.uint64)
 _inverses = np.ones(1, dtype=np.uint64)

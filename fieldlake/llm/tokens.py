@@ -215,5 +215,5 @@ def encoder(path: str) -> Encoder:
 
 def token_arrays(texts: pa.Array, path: str):
     """Slices of a text column as (first row, row after, ids, id offsets)."""
-    for at, to, data, offsets in T.pieces(texts):
+    for at, to, data, offsets in T.pieces(texts, 1 << 20):
         yield at, to, *encoder(path).encode(data, offsets)

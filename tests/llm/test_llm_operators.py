@@ -300,12 +300,19 @@ def test_packing(docs, empty, rows):
         assert b"".join(p[2] for p in parts) == np.array(ids, dtype="<u4").tobytes()
         assert [p[0] for p in parts] == np.cumsum([0] + [p[1] for p in parts])[:-1].tolist()
         assert all(p[1] == 256 for p in parts[1:]) and 1 <= parts[0][1] <= 256
-    whole = {r["sequence_id"]: r for r in packing.sequences(pieces, assigned).collect()}
-    assert whole.keys() == spaces.keys()
+    left = collections.Counter((r["id"], bytes(r["ids"])) for r in pieces.collect())
+    for r in packing.sequences(pieces, 256, most_open=5, task_pieces=20).collect():
+        ids, at = bytes(r["ids"]), 0
+        assert r["length"] == len(ids) // 4 <= 256
+        for doc in r["doc_ids"]:
+            piece = next(p for (i, p), n in left.items() if i == doc and n and ids.startswith(p, at))
+            left[doc, piece] -= 1
+            at += len(piece)
+        assert at == len(ids)
+    assert not +left
     for k, held in spaces.items():
         held.sort()
         assert [h[0] for h in held] == np.cumsum([0] + [h[1] for h in held])[:-1].tolist() and sum(h[1] for h in held) <= 256
-        assert bytes(whole[k]["ids"]) == b"".join(h[2] for h in held) and whole[k]["doc_ids"] == [h[3] for h in held]
     assert packing.token_pieces(empty, scratch, path).count() == 0
 
 

@@ -146,7 +146,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 def taken(documents: DataFrame, fragments: DataFrame) -> DataFrame:
     """documents with taken: the words that the mix takes from each, repeats counted."""
     words = fragments.groupBy("id").agg(F.sum(F.col("to") - F.col("from")).alias("taken"))
-    return documents.join(words, "id", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
+    return documents.hint("merge").join(words.hint("merge"), "id", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
 
 
 def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,5 +180,5 @@ def rendered(docs: DataFrame, fragments: DataFrame, id_col: str = "doc_id", text
     """
     spans = fragments.groupBy("id", "turn").agg(F.collect_list(F.struct("from", "to")).alias("parts")).withColumnRenamed("id", "__id").drop("turn")
     packed = docs.select(F.col(id_col).cast("long").alias("__own"), F.struct(*[c for c in docs.columns if c != text_col]).alias("rest"), F.col(text_col).alias("text"))
-    both = packed.join(spans, F.col("__own") == F.col("__id")).select("rest", "text", "parts")
+    both = packed.hint("merge").join(spans.hint("merge"), F.col("__own") == F.col("__id")).select("rest", "text", "parts")
     return both.mapInArrow(_rendered, both.drop("parts").schema).select("rest.*", F.col("text").alias(text_col))

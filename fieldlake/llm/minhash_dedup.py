@@ -147,7 +147,7 @@ def _incidence(codes: np.ndarray, row: np.ndarray, rows: int, low: int, high: in
     return out
 
 
-def _compare(batches, percent: int, columns: int = 4096):
+def _compare(batches, percent: int, columns: int = 4096, tile: int = 1024):
     """Links between two blocks' classes of different components, from exact intersection sizes."""
     for batch in batches:
         for k in range(batch.num_rows):
@@ -159,20 +159,27 @@ def _compare(batches, percent: int, columns: int = 4096):
                 comps.append(block.field("comp").to_numpy())
                 items.append(lists.flatten().to_numpy())
                 rows.append(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())))
-            size = [np.bincount(r, minlength=len(i)) for r, i in zip(rows, ids)]
+            size = [np.bincount(r, minlength=len(i)).astype(np.float32) for r, i in zip(rows, ids)]
             both = np.intersect1d(items[0], items[1])
-            same = np.zeros((len(ids[0]), len(ids[1])), dtype=np.float32)
-            if len(both):
-                codes = [np.searchsorted(both, x) for x in items]
-                for side in (0, 1):
-                    there = both[np.minimum(codes[side], len(both) - 1)] == items[side]
-                    codes[side], rows[side] = codes[side][there], rows[side][there]
-                for low in range(0, len(both), columns):
-                    high = min(low + columns, len(both))
-                    same += _incidence(codes[0], rows[0], len(ids[0]), low, high) @ _incidence(codes[1], rows[1], len(ids[1]), low, high).T
-            link = 100 * same >= percent * (size[0][:, None] + size[1][None, :] - same)
-            a, b = np.nonzero(link & (comps[0][:, None] != comps[1][None, :]))
-            a, b = ids[0][a], ids[1][b]
+            codes = [np.searchsorted(both, x) for x in items]
+            for side in (0, 1):
+                there = both[np.minimum(codes[side], len(both) - 1)] == items[side] if len(both) else np.zeros(len(items[side]), dtype=bool)
+                codes[side], rows[side] = codes[side][there], rows[side][there]
+            cuts = [np.searchsorted(r, np.arange(0, len(i) + tile, tile)) for r, i in zip(rows, ids)]
+            found = []
+            # Short sets make blocks of many rows, so that the products are made of tiles of bounded size.
+            for i in range(0, len(ids[0]), tile):
+                left, mine = slice(*cuts[0][i // tile : i // tile + 2]), slice(i, i + tile)
+                for j in range(0, len(ids[1]), tile):
+                    right, other = slice(*cuts[1][j // tile : j // tile + 2]), slice(j, j + tile)
+                    same = np.zeros((len(size[0][mine]), len(size[1][other])), dtype=np.float32)
+                    for low in range(0, len(both), columns):
+                        high = min(low + columns, len(both))
+                        same += _incidence(codes[0][left], rows[0][left] - i, same.shape[0], low, high) @ _incidence(codes[1][right], rows[1][right] - j, same.shape[1], low, high).T
+                    total = size[0][mine][:, None] + size[1][other][None, :] - same
+                    a, b = np.nonzero((100 * same >= percent * total) & (comps[0][mine][:, None] != comps[1][other][None, :]))
+                    found.append((ids[0][mine][a], ids[1][other][b]))
+            a, b = (np.concatenate(x) for x in zip(*found))
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
 

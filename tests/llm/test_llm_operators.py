@@ -73,7 +73,8 @@ def test_minhash(docs, empty, rows):
     assert minhash_groups(empty).count() == 0
 
 
-def test_block_comparison_finds_what_stars_miss():
+@pytest.mark.parametrize("tile", [4, 1024])
+def test_block_comparison_finds_what_stars_miss(tile):
     import pyarrow as pa
 
     from fieldlake.llm.minhash_dedup import _compare
@@ -83,7 +84,7 @@ def test_block_comparison_finds_what_stars_miss():
     block = [{"id": i, "comp": i % 4, "items": s.tolist()} for i, s in enumerate(sets)]
     kind = pa.list_(pa.struct([("id", pa.int64()), ("comp", pa.int64()), ("items", pa.list_(pa.int64()))]))
     batch = pa.RecordBatch.from_arrays([pa.array([block[:11], block[11:]], type=kind), pa.array([block, block], type=kind)], names=["left", "right"])
-    got = {(a, b) for x in _compare([batch], 50, columns=7) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())}
+    got = {(a, b) for x in _compare([batch], 50, columns=7, tile=tile) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())}
     want = {(i, j) for i in range(30) for j in range(i) if i % 4 != j % 4 and 100 * len(np.intersect1d(sets[i], sets[j])) >= 50 * len(np.union1d(sets[i], sets[j]))}
     assert got == want
 
@@ -206,6 +207,24 @@ def test_line_dedup(spark, empty):
     assert L.dedup_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("tile", [3, 64])
+def test_linked_classes_form_a_forest_of_all_links(tile):
+    import pyarrow as pa
+
+    from fieldlake.llm import line_dedup as L
+
+    rng = random.Random(8)
+    side = [{"h": h, "s0": rng.choice([0, 1, 3, 255]), "s1": rng.choice([0, 7, 1 << 40]), "form": rng.choice(["red green blue sun", "red green blue son", "moon"])} for h in rng.sample(range(1000), 60)]
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("form", pa.string())]))
+    for left, right in ((side, side), (side[:20], side[20:])):
+        near = lambda x, y: (x["s0"] ^ y["s0"]).bit_count() + (x["s1"] ^ y["s1"]).bit_count() <= 3 and L.similar(x["form"], y["form"], 80)
+        links = {(x["h"], y["h"]) for x in left for y in right if x["h"] < y["h"] and near(x, y)}
+        batch = pa.RecordBatch.from_arrays([pa.array([left], type=kind), pa.array([right], type=kind)], names=["left", "right"])
+        got = [(a, b) for x in L._linked([batch], 3, 80, tile) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())]
+        ids = [x["h"] for x in side]
+        assert set(got) <= links and len(got) < len(side) and reach(ids, got) == reach(ids, links)
+
+
 def test_edit_distance():
     from fieldlake.llm.line_dedup import edit_distance
 

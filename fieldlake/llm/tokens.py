@@ -16,8 +16,8 @@ import pyarrow as pa
 
 from . import text as T
 
-#: Distinct pieces that a worker remembers; beyond that it starts afresh (same ids, more work).
-MOST_PIECES = 1 << 21
+#: Distinct pieces that a worker remembers; beyond that it starts afresh with the next slice (same ids, more work).
+MOST_PIECES = 1 << 20
 
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 _CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
@@ -130,7 +130,8 @@ def merger(path: str):
 class Encoder:
     """ids of whole texts; keeps what it has learnt about distinct pieces."""
 
-    SLOTS = 1 << 23
+    #: Slots at first; there are always four for each piece at least.
+    SLOTS = 1 << 18
 
     def __init__(self, path: str):
         self.encode_pieces = merger(path)
@@ -138,18 +139,40 @@ class Encoder:
 
     def clear(self) -> None:
         self.slots, self.number = np.zeros(self.SLOTS, dtype=np.uint64), np.zeros(self.SLOTS, dtype=np.int32)
-        self.first, self.count, self.ids, self.used, self.known = np.zeros(MOST_PIECES, dtype=np.int64), np.zeros(MOST_PIECES, dtype=np.int32), np.zeros(4 * MOST_PIECES, dtype=np.uint16), 0, 0
+        self.first, self.count, self.ids, self.used, self.known = np.zeros(self.SLOTS // 4, dtype=np.int64), np.zeros(self.SLOTS // 4, dtype=np.int32), np.zeros(self.SLOTS, dtype=np.uint16), 0, 0
+
+    def _grow(self, known: int) -> None:
+        """Room for so many pieces."""
+        held = np.flatnonzero(self.slots)
+        keys, number = self.slots[held], self.number[held]
+        size = 1 << (4 * known - 1).bit_length()
+        self.slots, self.number = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.int32)
+        self.first, self.count = (np.concatenate([x, np.zeros(size // 4 - len(x), dtype=x.dtype)]) for x in (self.first, self.count))
+        self._place(keys, number)
+
+    def _place(self, keys: np.ndarray, number: np.ndarray) -> None:
+        """Enter distinct, unknown keys."""
+        last = len(self.slots) - 1
+        slot, todo = (keys & T.U(last)).astype(np.int64), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.slots[slot[todo]] == 0]
+            self.slots[slot[free]] = keys[free]  # of several that want a slot, one gets it
+            placed = self.slots[slot[todo]] == keys[todo]
+            self.number[slot[todo[placed]]] = number[todo[placed]]
+            todo = todo[~placed]
+            slot[todo] = (slot[todo] + 1) & last
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Each key's number, or -1."""
         out = np.full(len(keys), -1, dtype=np.int64)
-        slot = (keys & T.U(self.SLOTS - 1)).astype(np.int64)
+        last = len(self.slots) - 1
+        slot = (keys & T.U(last)).astype(np.int64)
         held = self.slots[slot]
         hit = held == keys
         out[hit] = self.number[slot[hit]]
         more = np.flatnonzero(~hit & (held != 0))
         while len(more):
-            slot[more] = (slot[more] + 1) & (self.SLOTS - 1)
+            slot[more] = (slot[more] + 1) & last
             held = self.slots[slot[more]]
             hit = held == keys[more]
             out[more[hit]] = self.number[slot[more[hit]]]
@@ -163,18 +186,13 @@ class Encoder:
         flat = np.fromiter((i for x in ids for i in x), dtype=np.uint16, count=int(count.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        if 4 * (self.known + len(keys)) > len(self.slots):
+            self._grow(self.known + len(keys))
         number = np.arange(self.known, self.known + len(keys))
         self.ids[self.used : self.used + len(flat)] = flat
         self.count[number], self.first[number] = count, self.used + np.cumsum(count) - count
         self.used, self.known = self.used + len(flat), self.known + len(keys)
-        slot, todo = (keys & T.U(self.SLOTS - 1)).astype(np.int64), np.arange(len(keys))
-        while len(todo):
-            free = todo[self.slots[slot[todo]] == 0]
-            self.slots[slot[free]] = keys[free]  # of several that want a slot, one gets it
-            placed = self.slots[slot[todo]] == keys[todo]
-            self.number[slot[todo[placed]]] = number[todo[placed]]
-            todo = todo[~placed]
-            slot[todo] = (slot[todo] + 1) & (self.SLOTS - 1)
+        self._place(keys, number)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, id offsets) of a slice of UTF-8 texts."""
@@ -191,8 +209,6 @@ class Encoder:
                 self.clear()
                 fresh, one = np.unique(keys, return_index=True)
                 unknown = np.arange(len(keys))
-                if len(fresh) > MOST_PIECES:
-                    raise ValueError("a slice of text has too many distinct pieces")
             at = unknown[one]
             self._learn(fresh, [whole[i:j] for i, j in zip(start[at].tolist(), stop[at].tolist())])
             number[unknown] = self._find(keys[unknown])

@@ -207,6 +207,21 @@ def test_line_dedup(spark, empty):
     assert L.dedup_lines(empty).count() == 0
 
 
+def test_remembered_pieces_grow_and_start_afresh(monkeypatch):
+    from fieldlake.llm import tokens
+
+    monkeypatch.setattr(tokens, "merger", lambda path: lambda pieces: [[len(x), ord(x[-1])] for x in pieces])
+    monkeypatch.setattr(tokens, "MOST_PIECES", 300)
+    monkeypatch.setattr(tokens.Encoder, "SLOTS", 16)
+    rng, one = random.Random(4), tokens.Encoder("none")
+    for words in (3, 40, 200, 250, 900, 5):
+        texts = [" ".join("".join(rng.choices("abcdef", k=rng.randint(1, 6))) for _ in range(words)) for _ in range(2)]
+        data = [x.encode() for x in texts]
+        ids, at = one.encode(np.frombuffer(b"".join(data), dtype=np.uint8), np.cumsum([0, *map(len, data)]))
+        want = [[i for x in re.findall(" ?[a-z]+", text) for i in (len(x), ord(x[-1]))] for text in texts]
+        assert [ids[at[k] : at[k + 1]].tolist() for k in (0, 1)] == want
+
+
 @pytest.mark.parametrize("tile", [3, 64])
 def test_linked_classes_form_a_forest_of_all_links(tile):
     import pyarrow as pa

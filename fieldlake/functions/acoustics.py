@@ -193,11 +193,106 @@ def compared(a: np.ndarray, b: np.ndarray, rate: int, most: int = 2400, edge: in
     return out
 
 
+def onset_envelope(x: np.ndarray, rate: int, bands: int = 128, size: int = 2048, hop: int = 512) -> np.ndarray:
+    """Spectral flux: the mean rise of each mel band in dB against the frame before; delayed by what a centred frame sees ahead."""
+    db = decibels(mel_bank(rate, size, bands, 0.0, rate / 2) @ power_frames(x, size, hop), 1.0)
+    rise = np.maximum(0, np.diff(db, axis=1)).mean(axis=0)
+    return np.concatenate([np.zeros(1 + size // (2 * hop)), rise])[: db.shape[1]]
+
+
+def spectral_shape(magnitude: np.ndarray, frequency: np.ndarray, roll: float = 0.85) -> np.ndarray:
+    """(4, frames): centroid, bandwidth, roll-off and flatness of each frame; a silent frame has 0, 0, 0 and 1."""
+    total = magnitude.sum(axis=0)
+    share = magnitude / np.where(total > 0, total, 1)
+    centroid = frequency @ share
+    bandwidth = np.sqrt((share * (frequency[:, None] - centroid) ** 2).sum(axis=0))
+    rolloff = frequency[(np.cumsum(magnitude, axis=0) >= roll * total).argmax(axis=0)]
+    power = np.maximum(magnitude**2, 1e-10)
+    return np.stack([centroid, bandwidth, rolloff, np.exp(np.log(power).mean(axis=0)) / power.mean(axis=0)])
+
+
+def spectral_contrast(magnitude: np.ndarray, frequency: np.ndarray, lowest: float = LOW, octaves: int = 6, quantile: float = 0.02) -> np.ndarray:
+    """(octaves + 1, frames) of dB between the strongest and weakest share of each octave; the first band ends at lowest.
+
+    A neighbouring bin joins each band's lower edge, and the last band takes all
+    above it. Zeros if an octave would start beyond the highest frequency.
+    """
+    edges = np.concatenate([[0.0], lowest * 2.0 ** np.arange(octaves + 1)])
+    if edges[-2] >= frequency[-1]:
+        return np.zeros((octaves + 1, magnitude.shape[1]))
+    peaks, valleys = [], []
+    for band in range(octaves + 1):
+        inside = np.flatnonzero((frequency >= edges[band]) & (frequency <= edges[band + 1]))
+        first = inside[0] - (band > 0)
+        last = len(frequency) if band == octaves else inside[-1] + 1
+        n = max(1, int(np.rint(quantile * (last - first))))
+        ordered = np.sort(magnitude[first : last - (band < octaves)], axis=0)
+        valleys.append(ordered[:n].mean(axis=0))
+        peaks.append(ordered[-n:].mean(axis=0))
+    return decibels(np.array(peaks), 1.0) - decibels(np.array(valleys), 1.0)
+
+
+def temporal(x: np.ndarray, rate: int, size: int = 2048, hop: int = 512) -> np.ndarray:
+    """Duration, mean and deviation of the rate of sign changes, mean and deviation of the level, over centred frames."""
+    frames = lambda y: np.lib.stride_tricks.sliding_window_view(y, size)[::hop]
+    edged = np.pad(x, size // 2, mode="edge")
+    negative = np.signbit(np.where(np.abs(edged) <= 1e-10, 0.0, edged))
+    turns = (np.diff(frames(negative).astype(np.int8), axis=1) != 0).sum(axis=1) / size
+    level = np.sqrt((frames(np.pad(x, size // 2)) ** 2).mean(axis=1))
+    return np.array([len(x) / rate, turns.mean(), turns.std(), level.mean(), level.std()])
+
+
+def clip_vector(x: np.ndarray, rate: int, size: int = 2048, hop: int = 512) -> np.ndarray:
+    """105 numbers: 5 of the onset envelope, 80 cepstral, 15 spectral, 5 temporal. A short clip is padded to one frame, also in its duration."""
+    x = np.pad(np.asarray(x, dtype=np.float64), (0, max(0, size - len(x))))
+    envelope = onset_envelope(x, rate, size=size, hop=hop)
+    change = np.abs(np.diff(envelope))
+    magnitude, frequency = np.sqrt(power_frames(x, size, hop)), np.fft.rfftfreq(size, 1 / rate)
+    shape = spectral_shape(magnitude, frequency)
+    return np.concatenate(
+        [
+            [envelope.max(), envelope.mean(), envelope.std(), np.ptp(envelope), change.mean() if len(change) else 0.0],
+            cepstral_vector(x, rate),
+            np.stack([shape.mean(axis=1), shape.std(axis=1)], axis=1).ravel(),
+            spectral_contrast(magnitude, frequency).mean(axis=1),
+            temporal(x, rate, size, hop),
+        ]
+    )
+
+
+def tukey(n: int, taper: float = 0.25) -> np.ndarray:
+    """The periodic window that is flat but for a cosine taper of this share, half at each end."""
+    at = np.arange(n) / n
+    edge = np.minimum(at, 1 - at)
+    return np.where(edge < taper / 2, 0.5 - 0.5 * np.cos(2 * np.pi * edge / taper), 1.0)
+
+
+def frame_peaks(a: np.ndarray, b: np.ndarray, rate: int, size: int = 1024, hop: int = 256, low: float = LOW, high: float = HIGH) -> dict:
+    """How far the peaks of aligned recordings differ in Hz, over the frames where a has a tenth of its highest band energy; None without energy."""
+    n = min(len(a), len(b))
+    f = np.fft.rfftfreq(size, 1 / rate)
+    band = (f >= low) & (f <= high)
+
+    def power(x: np.ndarray) -> np.ndarray:
+        cut = np.lib.stride_tricks.sliding_window_view(np.asarray(x[:n], dtype=np.float64), size)[::hop]
+        return np.abs(np.fft.rfft((cut - cut.mean(axis=1, keepdims=True)) * tukey(size), axis=1))[:, band] ** 2
+
+    if n < size:
+        raise ValueError(f"expected at least {size} samples")
+    p, q = power(a), power(b)
+    energy = p.sum(axis=1)
+    active = (energy >= energy.max() * 0.1) & (energy > 0)
+    if not active.any():
+        return {"frames": 0, "median": None, "p95": None, "max": None, "over_100": None}
+    away = np.abs(f[band][p.argmax(axis=1)] - f[band][q.argmax(axis=1)])[active]
+    return {"frames": int(active.sum()), "median": float(np.median(away)), "p95": float(np.percentile(away, 95)), "max": float(away.max()), "over_100": float((away > 100).mean())}
+
+
 def vectors(batches, kernel: str):
     """For mapInPandas over (path, rate, samples): path, vector and the error of a clip that the kernel refuses."""
     import pandas as pd
 
-    made = {"log_mel": lambda x, rate: log_mel_patch(x, rate).ravel(), "cepstra": cepstral_vector, "band_pass": band_pass}[kernel]
+    made = {"log_mel": lambda x, rate: log_mel_patch(x, rate).ravel(), "cepstra": cepstral_vector, "clip": clip_vector, "band_pass": band_pass}[kernel]
     for part in batches:
         rows = []
         for path, rate, samples in zip(part["path"], part["rate"], part["samples"]):

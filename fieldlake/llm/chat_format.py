@@ -96,9 +96,10 @@ def paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
         known = known.union(further)
         hop = scratch.save(hop.alias("a").join(hop.alias("b"), tied("a", "b") & (F.col("a.to") == F.col("b.node"))).select("a.tree", "a.node", F.col("b.to").alias("to")))
         reach *= 2
+    known = scratch.save(known)  # semi-joins would be pushed into each branch of the union
     roots = jump.where("to is null").select("tree", "node")
     rooted = known.alias("k").join(roots.alias("r"), tied("k", "r") & (F.col("k.node") == F.col("r.node")), "left_semi").select("tree", "leaf").distinct()
-    return known.alias("k").join(rooted.alias("r"), tied("k", "r") & (F.col("k.leaf") == F.col("r.leaf")), "left_semi")
+    return scratch.save(known.alias("k").join(rooted.alias("r"), tied("k", "r") & (F.col("k.leaf") == F.col("r.leaf")), "left_semi"))
 
 
 def best_paths(found: DataFrame) -> DataFrame:

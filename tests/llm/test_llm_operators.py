@@ -207,6 +207,28 @@ def test_line_dedup(spark, empty):
     assert L.dedup_lines(empty).count() == 0
 
 
+def test_near_copy_lines_beyond_the_simhash_blocks(spark):
+    """Against all pairs by edit similarity alone: lines of many lengths with a word replaced or letters mistyped."""
+    from fieldlake.llm import line_dedup as L
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwyé") for _ in range(rng.randint(3, 8)))
+    lines = []
+    for n in (8, 12, 20, 40, 80, 150) * 10:
+        w = [word() for _ in range(n)]
+        near, typo = list(w), list(w)
+        near[rng.randrange(n)] = word()
+        typo[rng.randrange(n)] += "x"
+        lines += [" ".join(x) for x in (w, near, typo)]
+    links = [(i, j) for i in range(len(lines)) for j in range(i) if L.similar(lines[i], lines[j], 80)]
+    group = reach(range(len(lines)), links)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["n_removed"] for r in L.dedup_lines(docs).collect()}
+    want = {i: int(group[i] != i) for i in group}
+    assert all(got[i] <= want[i] for i in want) and sum(want.values()) > 100
+    assert sum(got.values()) >= 0.98 * sum(want.values())
+
+
 def test_remembered_pieces_grow_and_start_afresh(monkeypatch):
     from fieldlake.llm import tokens
 

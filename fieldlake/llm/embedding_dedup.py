@@ -3,11 +3,15 @@
 Vectors with equal bytes are one class. Two codebooks, one for each half of
 the vector, form a product grid whose cells hold the classes. A query visits
 cells in the order of the sum of its two squared distances (the multi-sequence
-order), up to the number of cells that reached the target recall on the
-sample; then all pairs of query and cell are verified by cosine in double
-precision.
-
-Cells and their visitors are dealt in blocks of bounded size, and two blocks
+order), up to the number of cells that reaches the target recall both on made
+neighbours of sampled vectors, at the least cosine that is a link, and on the
+sample's own linked pairs. Cells are dealt to groups of about GROUP classes; a
+query goes once to each group that holds a cell of its visits, and all pairs of
+query and group are verified by cosine in double precision. Up to about GROUP
+times the visited cells, queries meet nearly all groups: the work then grows
+with the square of the classes.
+
+Groups and their visitors are dealt in blocks of bounded size, and two blocks
 meet in one matrix product. What leaves it are counts, and for the components
 a spanning forest of the block's links: at most one row for each vector, never
 a row for each pair.
@@ -34,8 +38,8 @@ from pyspark.sql import functions as F
 from .graph import components
 from .store import Scratch
 
-#: Vectors to fit on; classes of a cell, about; codewords at most; vectors of a block; visited cells at least; recall to reach on the sample.
-SAMPLE, PER_CELL, MOST_WORDS, BLOCK, LEAST_CELLS, RECALL = 8192, 8, 512, 512, 8, 0.999
+#: Vectors to fit on; classes of a cell, about; codewords at most; vectors of a block; visited cells at least; recall to reach; classes of a group, about; made neighbours.
+SAMPLE, PER_CELL, MOST_WORDS, BLOCK, LEAST_CELLS, RECALL, GROUP, MADE = 8192, 8, 512, 512, 8, 0.999, 8192, 8192
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,10 +104,28 @@ def visited(d1: np.ndarray, d2: np.ndarray, cells: int) -> np.ndarray:
 
 
 def cells_for(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], least_cosine: float, recall: float = RECALL, most_pairs: int = 20000) -> int:
-    """The number of cells that a query must visit to find `recall` of the sample's linked pairs (pairs beyond most_pairs are left out of the estimate)."""
+    """The number of cells that a query must visit to find `recall` of made neighbours at least_cosine, and of the sample's linked pairs.
+
+    Made neighbours, one in a random direction from each of MADE vectors, always
+    exist. Of the sample's pairs, those beyond most_pairs are left out.
+    """
     half, words = x.shape[1] // 2, len(books[0])
+    rng = np.random.Generator(np.random.PCG64(3))
+
+    def rank(a: np.ndarray, d1: np.ndarray, d2: np.ndarray, own1: np.ndarray, own2: np.ndarray) -> int:
+        """The `recall` quantile of the number of cells no farther from query a[k] than the cell (own1[k], own2[k])."""
+        s2, ranks = np.sort(d2, axis=1), []
+        for q, i, j in zip(a, own1, own2):
+            ranks.append(int(np.searchsorted(s2[q], d1[q, i] + d2[q, j] - d1[q], side="right").sum()))
+        return int(np.quantile(ranks, recall, method="higher"))
+
     d1, d2 = distances(x[:, :half], books[0]), distances(x[:, half:], books[1])
-    own1, own2 = d1.argmin(axis=1), d2.argmin(axis=1)
+    base = rng.permutation(len(x))[:MADE]
+    aside = rng.normal(size=(len(base), x.shape[1]))
+    aside -= (aside * x[base]).sum(axis=1)[:, None] * x[base]
+    aside /= np.maximum(np.sqrt((aside * aside).sum(axis=1)), 1e-300)[:, None]
+    made = least_cosine * x[base] + np.sqrt(max(0.0, 1 - least_cosine**2)) * aside
+    cells = max(LEAST_CELLS, rank(base, d1, d2, distances(made[:, :half], books[0]).argmin(axis=1), distances(made[:, half:], books[1]).argmin(axis=1)))
     q, v = [], []
     for at in range(0, len(x), BLOCK):
         i, j = np.nonzero(x[at : at + BLOCK] @ x.T >= least_cosine)
@@ -111,28 +133,25 @@ def cells_for(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], least_cosine:
         q.append(i[there] + at)
         v.append(j[there])
     q, v = np.concatenate(q), np.concatenate(v)
-    if not len(q):
-        return min(words * words, LEAST_CELLS)
-    pick = np.random.Generator(np.random.PCG64(3)).permutation(len(q))[:most_pairs]
-    ranks = []
-    s2 = np.sort(d2, axis=1)
-    for a, b in zip(q[pick], v[pick]):
-        reach = d1[a, own1[b]] + d2[a, own2[b]]
-        ranks.append(int(np.searchsorted(s2[a], reach - d1[a], side="right").sum()))
-    return min(words * words, max(LEAST_CELLS, int(np.quantile(ranks, recall, method="higher"))))
-
-
-def _placed(batches: Iterator[pa.RecordBatch], books: tuple[np.ndarray, np.ndarray], cells: int, dim: int) -> Iterator[pa.RecordBatch]:
+    if len(q):
+        pick = rng.permutation(len(q))[:most_pairs]
+        cells = max(cells, rank(q[pick], d1, d2, d1.argmin(axis=1)[v[pick]], d2.argmin(axis=1)[v[pick]]))
+    return min(words * words, cells)
+
+
+def _placed(batches: Iterator[pa.RecordBatch], books: tuple[np.ndarray, np.ndarray], cells: int, groups: int, dim: int) -> Iterator[pa.RecordBatch]:
+    """Each class with its own group as `cell`, and the groups of the cells that it visits."""
     words, half = len(books[0]), dim // 2
     for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
             x = _matrix(part.column("unit"), dim)
             d1, d2 = distances(x[:, :half], books[0]), distances(x[:, half:], books[1])
             own = d1.argmin(axis=1) * words + d2.argmin(axis=1)
-            seen = visited(d1, d2, cells)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * seen.shape[1]), pa.array(seen.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copies"), part.column("unit"), pa.array(own), lists], names=["id", "copies", "unit", "cell", "visits"])
+            seen = np.sort(visited(d1, d2, cells) % groups, axis=1)
+            new = np.concatenate([np.ones((len(x), 1), dtype=bool), seen[:, 1:] != seen[:, :-1]], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(new.sum(axis=1))]).astype(np.int32)), pa.array(seen[new]))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copies"), part.column("unit"), pa.array(own % groups), lists], names=["id", "copies", "unit", "cell", "visits"])
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -180,7 +199,8 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         half = dim // 2
         books = (codebook(x[:, :half], words, 1), codebook(x[:, half:], words, 2)) if words > 1 else (np.zeros((1, half)), np.zeros((1, dim - half)))
         cells = cells_for(x, books, least_cosine) if words > 1 else 1
-        placed = scratch.save(own.mapInArrow(lambda it, books=books, cells=cells, dim=dim: _placed(it, books, cells, dim), "id long, copies long, unit binary, cell long, visits array<long>"))
+        groups = -(-n // GROUP)
+        placed = scratch.save(own.mapInArrow(lambda it, books=books, cells=cells, groups=groups, dim=dim: _placed(it, books, cells, groups, dim), "id long, copies long, unit binary, cell long, visits array<long>"))
         inside = _blocks(placed.select("cell", "id", "copies", "unit"))
         held = placed.select("cell").distinct()
         visits = placed.select("id", "copies", "unit", F.explode("visits").alias("cell")).join(held, "cell", "left_semi")

@@ -306,6 +306,36 @@ def test_embeddings(spark):
     assert embedding_groups(df.where("false")).count() == 0
 
 
+def test_visited_cells_reach_neighbours_that_the_sample_lacks():
+    from fieldlake.llm import embedding_dedup as E
+
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    x = unit(rng.normal(size=(3000, 64)))  # no two are linked
+    books = E.codebook(x[:, :32], 40, 1), E.codebook(x[:, 32:], 40, 2)
+    cells = E.cells_for(x, books, 0.9)
+    aside = rng.normal(size=x.shape)
+    near = 0.9 * x + np.sqrt(1 - 0.81) * unit(aside - (aside * x).sum(axis=1)[:, None] * x)
+    d = [E.distances(y[:, a:b], book) for y in (x, near) for a, b, book in ((0, 32, books[0]), (32, 64, books[1]))]
+    seen = E.visited(d[0], d[1], cells)
+    found = (seen == (d[2].argmin(axis=1) * 40 + d[3].argmin(axis=1))[:, None]).any(axis=1)
+    assert found.mean() >= 0.99 and cells < 1600
+
+
+def test_groups_lose_no_link(spark, monkeypatch):
+    from fieldlake.llm import embedding_dedup as E
+
+    monkeypatch.setattr(E, "GROUP", 50)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 32))
+    x = np.concatenate([x, x[:60] + 0.3 * rng.normal(size=(60, 32))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = ((x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)).sum(axis=1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {r["vec_id"]: r["n_links"] for r in E.embedding_groups(df).collect()}
+    assert want.sum() > 60 and all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.99 * want.sum()
+
+
 def test_multi_sequence_order():
     from fieldlake.llm.embedding_dedup import visited
 

@@ -362,6 +362,43 @@ def test_licenses(spark, empty):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_whole_license_files(spark):
+    from pathlib import Path
+
+    from fieldlake.llm.license_scan import FULL, KNOWN, known_digests, scanned
+
+    bsd = """BSD 3-Clause License
+
+Copyright (c) 2021, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+""" + next(x for n, x in FULL if n == "BSD-3-Clause").rsplit("\n", 1)[1]
+    texts = [("MIT", "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + KNOWN[0][1]), ("ISC", "ISC License\n\nCopyright (c) 2020 A. Person\n" + KNOWN[1][1]), ("BSD-3-Clause", bsd), (None, bsd + " and more")]
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0-only", "GPL-3"), ("LGPL-2.1-only", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        path = Path("/usr/share/common-licenses", file)
+        if path.exists():
+            texts += [(name, path.read_text()), (None, path.read_text()[:-200])]
+            if name == "Apache-2.0":
+                texts.append((name, path.read_text().replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2019 A. Person")))
+    df = spark.createDataFrame([(k, x) for k, (_, x) in enumerate(texts)], "doc_id long, text string")
+    got = {r["id"]: r["license"] for r in scanned(df, known_digests(spark)).collect()}
+    assert [got[k] for k in range(len(texts))] == [n for n, _ in texts]
+
+
 def test_packing(docs, empty, rows):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

@@ -36,11 +36,11 @@ def logistic_oof(t: Tables):
 
 @query("forest_importances")
 def forest_importances(t: Tables):
-    return O.importances(labelled(t), FEATURES, "quality", trees=50)
+    return O.importances(labelled(t), FEATURES, "quality")
 
 
 @query("classification_evidence")
 def classification_evidence(t: Tables):
     """Repeated group folds of a balanced multinomial model against permuted labels: one row."""
     rows = labelled(t).select("doc_id", "unit", F.col("quality").cast("string").alias("quality"), F.array(*FEATURES).alias("vector"))
-    return E.summary(E.evidence(rows, "doc_id", "vector", "quality", "unit", k=3, repeats=3, permutations=20)[0])
+    return E.summary(E.evidence(rows, "doc_id", "vector", "quality", "unit")[0])

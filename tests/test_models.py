@@ -100,3 +100,17 @@ def test_out_of_fold_scores(spark, model):
     got = O.out_of_fold(df, "id", ["a", "b"], "y", 3, model, trees=20).collect()
     assert len(got) == 200 and np.mean([(r["score"] > 0.5) == r["y"] for r in got]) > 0.85
     assert abs(sum(r["importance"] for r in O.importances(df, ["a", "b"], "y", trees=10).collect()) - 1) < 1e-9
+
+
+def test_registered_models_use_the_operators_settings(monkeypatch):
+    from fieldlake.plans import models as M
+
+    calls = []
+    monkeypatch.setattr(M, "labelled", lambda t: type("Rows", (), {"select": lambda self, *c: self})())
+    monkeypatch.setattr(M, "F", type("Any", (), {"col": staticmethod(lambda c: type("C", (), {"cast": lambda s, k: s, "alias": lambda s, k: s})()), "array": staticmethod(lambda *c: type("C", (), {"alias": lambda s, k: s})())}))
+    monkeypatch.setattr(M.O, "importances", lambda *a, **k: calls.append(k))
+    monkeypatch.setattr(M.E, "evidence", lambda *a, **k: (calls.append(k), None))
+    monkeypatch.setattr(M.E, "summary", lambda runs: None)
+    M.forest_importances(None)
+    M.classification_evidence(None)
+    assert calls == [{}, {}]

@@ -1,7 +1,7 @@
 """Language ID by language-bitmask n-gram filters.
 
-One bit-sliced Bloom filter holds the n-grams of all languages: a slot is a
-word of bits, one for each language, and an n-gram's languages are the AND of
+One bit-sliced Bloom filter holds the n-grams of all languages: a slot has a
+bit for each language, in words of 64, and an n-gram's languages are the AND of
 its slots. A text's hits are counted for each language, corrected for the
 filter's false positives in that language, and set against the share that the
 language's own texts reach.
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from . import text as T
 from .tokens import classes
 
-#: Labelled texts of each language to learn from, at about; languages at most; texts of the sample that must hold an n-gram.
-SAMPLE_DOCS, MOST_LANGUAGES, LEAST_DOCS = 2000, 64, 2
+#: Labelled texts of each language to learn from, at about; texts of the sample that must hold an n-gram.
+SAMPLE_DOCS, LEAST_DOCS = 2000, 2
 #: Code points of an n-gram; the filter's slots and hash functions.
 WIDTH, SLOTS, HASHES = 4, 1 << 19, 3
 UNKNOWN = "und"
@@ -83,20 +83,20 @@ def slots(h: np.ndarray) -> list[np.ndarray]:
 @dataclass(frozen=True)
 class LanguageFilter:
     names: list[str]
-    bits: np.ndarray  # uint64 by slot
+    bits: np.ndarray  # uint64 by word (of 64 languages each) and slot
     reached: np.ndarray  # corrected share of hits that a language's own texts reach, by language
 
     @property
     def false_rate(self) -> np.ndarray:
-        return np.array([float(((self.bits >> T.U(k)) & T.U(1)).mean()) ** HASHES for k in range(len(self.names))])
+        return np.array([float(((self.bits[k // 64] >> T.U(k % 64)) & T.U(1)).mean()) ** HASHES for k in range(len(self.names))])
 
     def shares(self, row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
         """(rows, languages): corrected shares of each text's n-grams that a language holds."""
-        held = np.full(len(h), ~T.U(0))
+        held = np.full((len(self.bits), len(h)), ~T.U(0))
         for at in slots(h):
-            held &= self.bits[at]
+            held &= self.bits[:, at]
         total = np.maximum(1, np.bincount(row, minlength=rows))
-        hits = np.stack([np.bincount(row[((held >> T.U(k)) & T.U(1)).astype(bool)], minlength=rows) for k in range(len(self.names))], axis=1) / total[:, None]
+        hits = np.stack([np.bincount(row[((held[k // 64] >> T.U(k % 64)) & T.U(1)).astype(bool)], minlength=rows) for k in range(len(self.names))], axis=1) / total[:, None]
         false = self.false_rate
         return np.clip((hits - false) / np.maximum(1e-9, 1 - false), 0, 1)
 
@@ -139,9 +139,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     labelled = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[lang_col]: r["count"] for r in labelled.groupBy(lang_col).count().collect()}
     names = sorted(counts)
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    empty = LanguageFilter(names, np.zeros(SLOTS, dtype=np.uint64), np.ones(len(names)))
+    empty = LanguageFilter(names, np.zeros((-(-len(names) // 64), SLOTS), dtype=np.uint64), np.ones(len(names)))
     if not names:
         return empty
     scale = 1 << 30
@@ -153,13 +151,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rows = found.where((F.col("n") >= least) | F.col("k").isin(*(rare or {-1}))).select("k", "h").toArrow()
     k, h = rows.column("k").to_numpy(), rows.column("h").to_numpy().view(np.uint64)
     for at in slots(h):
-        np.bitwise_or.at(empty.bits, at, T.U(1) << k.astype(np.uint64))
+        np.bitwise_or.at(empty.bits, (k // 64, at), T.U(1) << (k % 64).astype(np.uint64))
     own = {r["k"]: r["share"] for r in sample.mapInArrow(lambda it: _sample_shares(it, empty), "k int, share double").groupBy("k").agg(F.avg("share").alias("share")).collect()}
     return LanguageFilter(names, empty.bits, np.array([own.get(k, 1.0) for k in range(len(names))]))
 
 
 def predicted(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score of every whole text. The model's size is fixed, so it is broadcast."""
+    """id, lang_pred, score of every whole text. The model has a fixed size for each 64 languages, so it is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -529,6 +529,16 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in I.predicted(df, I.fit(df.where("false"))).collect()} == {"und"}
 
 
+def test_more_than_64_languages(spark):
+    from fieldlake.llm import language_id as I
+
+    word = lambda k: "".join(random.Random(k).sample("abcdefghijklmnopqrstuvwxyz", 8))
+    rows = [(k, f"{word(k)} {word(1000 + k)}", f"l{k:03}") for k in range(130)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = {r["id"]: r["lang_pred"] for r in I.predicted(df, I.fit(df)).collect()}
+    assert got == {k: lang for k, _, lang in rows}
+
+
 def test_components(spark):
     from fieldlake.llm.graph import components
     from fieldlake.llm.store import Scratch

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Bytes of an Arrow batch on its way to a Python worker; one longer row is a batch of its own.
@@ -52,3 +54,28 @@ class Scratch:
         """Delete a saved table that nothing reads any more."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._fieldlake_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(docs: DataFrame, scratch: Scratch, name: str = "row") -> DataFrame:
+    """docs with a key of each row, a struct (file, place): ids may be null or repeated, row keys may not.
+
+    A row that comes straight from a file, through projections and filters,
+    has the hash of its file's path and its place in the file, which stay the
+    same whenever the table is read. All other rows are numbered and written.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() == "LogicalRelation":
+        try:
+            at = docs.metadataColumn("_metadata")
+            out = docs.withColumn(name, F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("place")))
+            out.schema  # resolved here: a format without row places is known now
+            return out
+        except AnalysisException:
+            pass
+    return scratch.save(docs.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("place"))))
+
+
+#: The type of a row's key, as DDL and for Arrow.
+ROW = "struct<file:bigint,place:bigint>"

@@ -178,6 +178,21 @@ def line_form(line):
     return re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", " ", line).strip(" ")
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, d in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return row[-1]
+
+
+def similar_lines(a, b):
+    longer = max(len(a), len(b))
+    return abs(len(a) - len(b)) * 5 <= longer and 5 * distance(a, b) <= longer
+
+
 def test_line_dedup(spark, empty):
     from fieldlake.llm import line_dedup as L
 
@@ -188,11 +203,7 @@ def test_line_dedup(spark, empty):
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
     form = {(r[0], n): line_form(x) for r in rows if r[1] is not None for n, x in enumerate(r[1].split("\n"))}
     distinct = sorted({f for f in form.values() if len(f) >= L.LEAST_CHARS})
-    sims = []
-    for f in distinct:
-        b = f.encode()
-        sims.append(L.simhashes(np.frombuffer(b, dtype=np.uint8), np.array([0, len(b)]))[0])
-    links = [(i, j) for i in range(len(distinct)) for j in range(i) if sum(int(a ^ b).bit_count() for a, b in zip(sims[i].tolist(), sims[j].tolist())) <= 3 and L.similar(distinct[i], distinct[j], 80)]
+    links = [(i, j) for i in range(len(distinct)) for j in range(i) if similar_lines(distinct[i], distinct[j])]
     assert links  # the long lines differ by a word
     group = reach(range(len(distinct)), links)
     first, want = {}, collections.defaultdict(list)
@@ -220,7 +231,8 @@ def test_near_copy_lines_beyond_the_simhash_blocks(spark):
         near[rng.randrange(n)] = word()
         typo[rng.randrange(n)] += "x"
         lines += [" ".join(x) for x in (w, near, typo)]
-    links = [(i, j) for i in range(len(lines)) for j in range(i) if L.similar(lines[i], lines[j], 80)]
+    # Lines of other base lines have nothing in common.
+    links = [(i, j) for i in range(len(lines)) for j in range(i - i % 3, i) if similar_lines(lines[i], lines[j])]
     group = reach(range(len(lines)), links)
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["n_removed"] for r in L.dedup_lines(docs).collect()}
@@ -229,6 +241,18 @@ def test_near_copy_lines_beyond_the_simhash_blocks(spark):
     assert sum(got.values()) >= 0.98 * sum(want.values())
 
 
+def test_line_dedup_with_null_and_repeated_ids(spark):
+    from fieldlake.llm import line_dedup as L
+
+    one, other = "the one line that is here more than once", "a line of its own that nothing else is like"
+    rows = [(None, one), (7, one + "\n" + other), (7, one), (7, one), (3, "short\n" + one), (None, one)]
+    got = collections.Counter((r["doc_id"], r["text"], r["n_removed"]) for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == {(3, "short\n" + one, 0): 1, (7, other, 1): 1, (7, "", 1): 2, (None, "", 1): 2}
+    rows = [(None, one), (None, one)]
+    got = sorted(r["text"] for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == ["", one]
+
+
 def test_remembered_pieces_grow_and_start_afresh(monkeypatch):
     from fieldlake.llm import tokens
 
@@ -251,34 +275,43 @@ def test_linked_classes_form_a_forest_of_all_links(tile):
     from fieldlake.llm import line_dedup as L
 
     rng = random.Random(8)
-    side = [{"h": h, "s0": rng.choice([0, 1, 3, 255]), "s1": rng.choice([0, 7, 1 << 40]), "form": rng.choice(["red green blue sun", "red green blue son", "moon"])} for h in rng.sample(range(1000), 60)]
-    kind = pa.list_(pa.struct([("h", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("form", pa.string())]))
-    for left, right in ((side, side), (side[:20], side[20:])):
-        near = lambda x, y: (x["s0"] ^ y["s0"]).bit_count() + (x["s1"] ^ y["s1"]).bit_count() <= 3 and L.similar(x["form"], y["form"], 80)
-        links = {(x["h"], y["h"]) for x in left for y in right if x["h"] < y["h"] and near(x, y)}
-        batch = pa.RecordBatch.from_arrays([pa.array([left], type=kind), pa.array([right], type=kind)], names=["left", "right"])
-        got = [(a, b) for x in L._linked([batch], 3, 80, tile) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())]
-        ids = [x["h"] for x in side]
-        assert set(got) <= links and len(got) < len(side) and reach(ids, got) == reach(ids, links)
-
-
-def test_edit_distance():
-    from fieldlake.llm.line_dedup import edit_distance
-
-    def plain(a, b):
-        row = list(range(len(b) + 1))
-        for i, c in enumerate(a, 1):
-            new = [i]
-            for j, d in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
-            row = new
-        return row[-1]
+    forms = ["red green blue sun", "red green blue son", "red green blues son", "moon", "a moon"]
+    side = [{"v": v, "comp": rng.choice([v, v - v % 50]), "form": rng.choice(forms)} for v in rng.sample(range(1000), 60)]
+    main = collections.Counter(x["comp"] for x in side).most_common(1)[0][0]
+    for x in side:
+        x |= {"main": x["comp"] == main, "centre": False, "chars": len(x["form"]), "s0": 0, "s1": 0, "q0": 0, "q1": 0}
+    kind = pa.list_(pa.struct([(c, pa.string() if c == "form" else pa.bool_() if c in ("main", "centre") else pa.int64()) for c in ("v", "comp", "main", "centre", "chars", "s0", "s1", "q0", "q1", "form")]))
+    links = [(x["comp"], y["comp"]) for x in side for y in side if similar_lines(x["form"], y["form"])]
+    comps = {x["comp"] for x in side}
+    outside = [x for x in side if not x["main"]]
+    rows = [(a, b) for a in (outside[:20], outside[20:]) for b in (side[:30], side[30:])]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=kind) for k in (0, 1)], names=["left", "right"])
+    got = [(a, b) for x in L._linked([batch], 80, tile, 5) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())]
+    assert set(got) <= set(links) and len(got) < len(comps) and reach(comps, got) == reach(comps, links)
+
+
+def test_edit_distance(monkeypatch):
+    from fieldlake.llm import line_dedup as L
 
     rng = random.Random(2)
     for _ in range(800):
         a, b = ("".join(rng.choice("abé") for _ in range(rng.randint(0, 12))) for _ in range(2))
         most = rng.randint(0, 12)
-        assert edit_distance(a, b, most) == min(plain(a, b), most + 1)
+        assert L.edit_distance(a, b, most) == min(distance(a, b), most + 1)
+    pairs = []
+    for n in (0, 1, 5, 30, 70, 150) * 25:
+        a = [rng.choice("abcdefé 𝒳") for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.choice([0, n // 20, n // 6, n // 4, n // 2])):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "a"])
+        pairs.append(("".join(a), "".join(b)))
+    want = [similar_lines(a, b) for a, b in pairs]
+    assert 20 < sum(want) < len(want) - 20
+    assert L.similar(*zip(*pairs), 80).tolist() == want
+    assert not any(L.near(a, b, max(len(a), len(b)) // 5) and not w for (a, b), w in zip(pairs, want))
+    monkeypatch.setattr(L, "LONG", 10)
+    assert L.similar(*zip(*pairs), 80).tolist() == want
 
 
 def test_embeddings(spark):

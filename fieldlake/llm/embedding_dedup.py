@@ -12,18 +12,24 @@ times the visited cells, queries meet nearly all groups: the work then grows
 with the square of the classes.
 
 Groups and their visitors are dealt in blocks of bounded size, and two blocks
-meet in one matrix product. What leaves it are counts, and for the components
-a spanning forest of the block's links: at most one row for each vector, never
-a row for each pair.
+meet in one matrix product, in single precision with a margin; what passes is
+decided in double precision. What leaves two blocks are counts, and for the
+components a spanning forest of their links: at most one row for each vector,
+never a row for each pair. A link counts for both its vectors, whichever of
+them has found it: where the other one doesn't come back, its count is written
+too.
 
 Bounds: the codebooks and the number of visited cells are fitted on at most
-SAMPLE vectors, chosen by a hash of the id; every vector is indexed and every
-vector is a query.
+SAMPLE vectors, chosen by a hash of their bytes; every vector is indexed and every
+vector is a query. Codebooks grow with the square root of the vectors, up to
+MOST_WORDS; beyond MOST_WORDS^2 * PER_CELL vectors, cells grow instead.
 
 Defined results: a vector that is null, empty or zero, or holds null or
 non-finite components, has no links and its own id as component. Vectors of
-different lengths have no links. An empty table gives an empty result. Only
-the two named columns are read.
+different lengths have no links. Rows with one id or with a null id have their
+own links each; a null id is a component's id only where it has no other, and
+kept then. An empty table gives an empty result. Only the two named columns are
+read.
 """
 
 from __future__ import annotations
@@ -38,8 +44,14 @@ from pyspark.sql import functions as F
 from .graph import components
 from .store import Scratch
 
-#: Vectors to fit on; classes of a cell, about; codewords at most; vectors of a block; visited cells at least; recall to reach; classes of a group, about; made neighbours.
-SAMPLE, PER_CELL, MOST_WORDS, BLOCK, LEAST_CELLS, RECALL, GROUP, MADE = 8192, 8, 512, 512, 8, 0.999, 8192, 8192
+#: Vectors to fit on; classes of a cell, about; codewords at most; vectors of a block; visited cells at least; share of made neighbours to reach from one side; classes of a group, about; made neighbours.
+SAMPLE, PER_CELL, MOST_WORDS, BLOCK, LEAST_CELLS, RECALL, GROUP, MADE = 16384, 8, 4096, 2048, 8, 0.999, 8192, 8192
+
+#: Below the least cosine by which a product in single precision still counts as a candidate (its error is about 1e-6).
+MARGIN = 1e-4
+
+#: Rows of a table of distances that the driver holds at once.
+ROWS = 1024
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,8 +83,10 @@ def codebook(x: np.ndarray, words: int, seed: int, rounds: int = 8) -> np.ndarra
     rng = np.random.Generator(np.random.PCG64(seed))
     out = x[rng.choice(len(x), words, replace=False)].copy()
     for _ in range(rounds):
-        d = distances(x, out)
-        near, far = d.argmin(axis=1), d.min(axis=1)
+        near, far = np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
+        for at in range(0, len(x), ROWS):
+            d = distances(x[at : at + ROWS], out)
+            near[at : at + ROWS], far[at : at + ROWS] = d.argmin(axis=1), d.min(axis=1)
         count = np.bincount(near, minlength=words)
         sums = np.zeros_like(out)
         np.add.at(sums, near, x)
@@ -107,112 +121,136 @@ def cells_for(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], least_cosine:
     """The number of cells that a query must visit to find `recall` of made neighbours at least_cosine, and of the sample's linked pairs.
 
     Made neighbours, one in a random direction from each of MADE vectors, always
-    exist. Of the sample's pairs, those beyond most_pairs are left out.
+    exist. So do the links of MADE vectors to the rest of the sample, if there
+    are any; most_pairs of them are tried.
     """
     half, words = x.shape[1] // 2, len(books[0])
     rng = np.random.Generator(np.random.PCG64(3))
 
-    def rank(a: np.ndarray, d1: np.ndarray, d2: np.ndarray, own1: np.ndarray, own2: np.ndarray) -> int:
-        """The `recall` quantile of the number of cells no farther from query a[k] than the cell (own1[k], own2[k])."""
-        s2, ranks = np.sort(d2, axis=1), []
-        for q, i, j in zip(a, own1, own2):
-            ranks.append(int(np.searchsorted(s2[q], d1[q, i] + d2[q, j] - d1[q], side="right").sum()))
+    def rank(q: np.ndarray, v: np.ndarray) -> int:
+        """The `recall` quantile of the number of cells no farther from q[k] than the cell of v[k]."""
+        ranks = []
+        for at in range(0, len(q), ROWS):
+            d1, d2, e1, e2 = (distances(y[at : at + ROWS, part], book) for y in (q, v) for part, book in ((slice(half), books[0]), (slice(half, None), books[1])))
+            s2, reach = np.sort(d2, axis=1), [np.take_along_axis(d, e.argmin(axis=1)[:, None], 1)[:, 0] for d, e in ((d1, e1), (d2, e2))]
+            ranks += [int(np.searchsorted(s2[k], total - d1[k], side="right").sum()) for k, total in enumerate(reach[0] + reach[1])]
         return int(np.quantile(ranks, recall, method="higher"))
 
-    d1, d2 = distances(x[:, :half], books[0]), distances(x[:, half:], books[1])
     base = rng.permutation(len(x))[:MADE]
     aside = rng.normal(size=(len(base), x.shape[1]))
     aside -= (aside * x[base]).sum(axis=1)[:, None] * x[base]
     aside /= np.maximum(np.sqrt((aside * aside).sum(axis=1)), 1e-300)[:, None]
-    made = least_cosine * x[base] + np.sqrt(max(0.0, 1 - least_cosine**2)) * aside
-    cells = max(LEAST_CELLS, rank(base, d1, d2, distances(made[:, :half], books[0]).argmin(axis=1), distances(made[:, half:], books[1]).argmin(axis=1)))
+    cells = max(LEAST_CELLS, rank(x[base], least_cosine * x[base] + np.sqrt(max(0.0, 1 - least_cosine**2)) * aside))
     q, v = [], []
-    for at in range(0, len(x), BLOCK):
-        i, j = np.nonzero(x[at : at + BLOCK] @ x.T >= least_cosine)
-        there = i + at != j
-        q.append(i[there] + at)
-        v.append(j[there])
+    for at in range(0, len(base), 256):
+        i, j = np.nonzero(x[base[at : at + 256]] @ x.T >= least_cosine)
+        i = base[at + i]
+        q.append(i[i != j])
+        v.append(j[i != j])
     q, v = np.concatenate(q), np.concatenate(v)
     if len(q):
         pick = rng.permutation(len(q))[:most_pairs]
-        cells = max(cells, rank(q[pick], d1, d2, d1.argmin(axis=1)[v[pick]], d2.argmin(axis=1)[v[pick]]))
+        cells = max(cells, rank(x[q[pick]], x[v[pick]]))
     return min(words * words, cells)
 
 
 def _placed(batches: Iterator[pa.RecordBatch], books: tuple[np.ndarray, np.ndarray], cells: int, groups: int, dim: int) -> Iterator[pa.RecordBatch]:
-    """Each class with its own group as `cell`, and the groups of the cells that it visits."""
+    """Each class with its own group as `cell`, and the groups of the cells that it visits, its own among them."""
     words, half = len(books[0]), dim // 2
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             x = _matrix(part.column("unit"), dim)
             d1, d2 = distances(x[:, :half], books[0]), distances(x[:, half:], books[1])
-            own = d1.argmin(axis=1) * words + d2.argmin(axis=1)
-            seen = np.sort(visited(d1, d2, cells) % groups, axis=1)
+            own = (d1.argmin(axis=1) * words + d2.argmin(axis=1)) % groups
+            seen = np.sort(np.concatenate([visited(d1, d2, cells) % groups, own[:, None]], axis=1), axis=1)
             new = np.concatenate([np.ones((len(x), 1), dtype=bool), seen[:, 1:] != seen[:, :-1]], axis=1)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(new.sum(axis=1))]).astype(np.int32)), pa.array(seen[new]))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copies"), part.column("unit"), pa.array(own % groups), lists], names=["id", "copies", "unit", "cell", "visits"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(new.sum(axis=1))]).astype(np.int32)), pa.array(seen[new].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copies"), part.column("unit"), pa.array(own.astype(np.int32)), lists], names=["id", "copies", "unit", "cell", "visits"])
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """(cell, block): a cell's rows in blocks of about BLOCK."""
+def _blocks(rows: DataFrame, more: str) -> DataFrame:
+    """(cell, block): a cell's rows in blocks of about BLOCK, with one more column."""
     parts = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     dealt = rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
-    return dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "copies", "unit")).alias("block")).drop("part")
+    return dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "copies", "unit", more)).alias("block")).drop("part")
+
+
+def _pairs(x: np.ndarray, y: np.ndarray, least: float, tile: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of x, rows of y) whose product is at least `least`, in double precision."""
+    x32, y32, found = x.astype(np.float32), y.astype(np.float32), []
+    for at in range(0, len(x), tile):
+        a, b = np.nonzero(x32[at : at + tile] @ y32.T >= np.float32(least - MARGIN))
+        for low in range(0, len(a), 1 << 16):
+            i, j = a[low : low + (1 << 16)] + at, b[low : low + (1 << 16)]
+            good = np.einsum("ij,ij->i", x[i], y[j]) >= least
+            found.append((i[good], j[good]))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 2
 
 
-def _verified(batches: Iterator[pa.RecordBatch], least: float, dim: int) -> Iterator[pa.RecordBatch]:
-    """kind 0: (query, links found, weighted by copies); kind 1: (id, smaller id) of a spanning forest."""
+def _verified(batches: Iterator[pa.RecordBatch], least: float, dim: int, groups: int) -> Iterator[pa.RecordBatch]:
+    """kind 0: (id, links found, weighted by copies); kind 1: (id, smaller id) of a spanning forest."""
     for batch in batches:
         for k in range(batch.num_rows):
             q, v = batch.column(0)[k].values, batch.column(1)[k].values
             qi, vi = q.field("id").to_numpy(), v.field("id").to_numpy()
-            link = (_matrix(q.field("unit"), dim) @ _matrix(v.field("unit"), dim).T >= least) & (qi[:, None] != vi[None, :])
-            if not link.any():
+            a, b = _pairs(_matrix(q.field("unit"), dim), _matrix(v.field("unit"), dim), least)
+            other = qi[a] != vi[b]
+            a, b = a[other], b[other]
+            if not len(a):
                 continue
-            count = link @ v.field("copies").to_numpy()
+            count = np.bincount(a, v.field("copies").to_numpy()[b], len(qi))
+            # Of a pair, v counts its own link when it visits the group of q; if it doesn't, the link is counted for it here.
+            visits = v.field("visits")
+            back = np.repeat(np.arange(len(vi)), visits.value_lengths().to_numpy()) * groups + visits.flatten().to_numpy()
+            want = b * groups + q.field("own").to_numpy()[a]
+            alone = back[np.minimum(np.searchsorted(back, want), len(back) - 1)] != want
+            extra = np.bincount(b[alone], q.field("copies").to_numpy()[a[alone]], len(vi))
             lq, lv = qi.copy(), vi.copy()
             while True:
-                nv = np.minimum(lv, np.where(link, lq[:, None], np.iinfo(np.int64).max).min(axis=0))
-                nq = np.minimum(lq, np.where(link, nv[None, :], np.iinfo(np.int64).max).min(axis=1))
+                nq, nv = lq.copy(), lv.copy()
+                np.minimum.at(nv, b, lq[a])
+                np.minimum.at(nq, a, nv[b])
                 if (nv == lv).all() and (nq == lq).all():
                     break
                 lq, lv = nq, nv
-            a, b = np.concatenate([qi, vi]), np.concatenate([lq, lv])
-            forest, found = a != b, count > 0
+            ids, labels, counts = np.concatenate([qi, vi]), np.concatenate([lq, lv]), np.concatenate([count, extra])
+            forest, found = ids != labels, counts > 0
             n, m = int(found.sum()), int(forest.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], [n, m]).astype(np.int32)), pa.array(np.concatenate([qi[found], a[forest]])), pa.array(np.concatenate([count[found], b[forest]]).astype(np.int64))], names=["kind", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], [n, m]).astype(np.int32)), pa.array(np.concatenate([ids[found], ids[forest]])), pa.array(np.concatenate([counts[found].astype(np.int64), labels[forest]]))], names=["kind", "a", "b"])
 
 
 def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least_cosine: float = 0.9) -> DataFrame:
     """Per vector: id_col, n_links (other vectors found linked), component_id (smallest id reachable), kept."""
     scratch = Scratch(vectors.sparkSession, "embeddings")
     clean = scratch.save(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(_clean, "id long, dim int, key binary, unit binary"))
-    classes = scratch.save(clean.where("dim > 0").groupBy("dim", "key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("unit").alias("unit")))
+    classes = clean.where("dim > 0").groupBy("dim", "key").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.min("unit").alias("unit"))
+    classes = scratch.save(classes.withColumn("id", F.monotonically_increasing_id()))
     found = []
     for r in classes.groupBy("dim").count().orderBy("dim").collect():
         dim, n = r["dim"], r["count"]
-        own = classes.where(F.col("dim") == dim).select("id", "copies", "unit")
-        sample = own.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < min(1 << 30, SAMPLE * (1 << 30) // n)).select("unit").orderBy("unit").limit(2 * SAMPLE).toArrow()
+        own = classes.where(F.col("dim") == dim)
+        sample = own.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < min(1 << 30, SAMPLE * (1 << 30) // n)).select("unit").orderBy("unit").limit(2 * SAMPLE).toArrow()
         x = _matrix(sample.column("unit"), dim) if sample.num_rows else np.zeros((0, dim))
         words = max(1, min(MOST_WORDS, int(np.sqrt(n / PER_CELL)), len(x) // 4))
         half = dim // 2
         books = (codebook(x[:, :half], words, 1), codebook(x[:, half:], words, 2)) if words > 1 else (np.zeros((1, half)), np.zeros((1, dim - half)))
         cells = cells_for(x, books, least_cosine) if words > 1 else 1
         groups = -(-n // GROUP)
-        placed = scratch.save(own.mapInArrow(lambda it, books=books, cells=cells, groups=groups, dim=dim: _placed(it, books, cells, groups, dim), "id long, copies long, unit binary, cell long, visits array<long>"))
-        inside = _blocks(placed.select("cell", "id", "copies", "unit"))
-        held = placed.select("cell").distinct()
-        visits = placed.select("id", "copies", "unit", F.explode("visits").alias("cell")).join(held, "cell", "left_semi")
-        both = _blocks(visits).withColumnRenamed("block", "q").join(inside.withColumnRenamed("block", "v"), "cell").select("q", "v")
-        found.append(scratch.save(both.mapInArrow(lambda it, dim=dim: _verified(it, least_cosine, dim), "kind int, a long, b long")))
+        placed = scratch.save(own.select("id", "copies", "unit").mapInArrow(lambda it, books=books, cells=cells, groups=groups, dim=dim: _placed(it, books, cells, groups, dim), "id long, copies long, unit binary, cell int, visits array<int>"))
+        inside = _blocks(placed, "visits")
+        held = placed.select("cell").distinct().withColumnRenamed("cell", "to")
+        visits = placed.select("id", "copies", "unit", F.col("cell").alias("own"), F.explode("visits").alias("to")).join(held, "to", "left_semi")
+        both = _blocks(visits.select("id", "copies", "unit", F.col("to").alias("cell"), F.col("own")), "own").withColumnRenamed("block", "q").join(inside.withColumnRenamed("block", "v"), "cell").select("q", "v")
+        found.append(scratch.save(both.mapInArrow(lambda it, dim=dim, groups=groups: _verified(it, least_cosine, dim, groups), "kind int, a long, b long")))
     links = clean.sparkSession.createDataFrame([], "kind int, a long, b long") if not found else found[0]
     for x in found[1:]:
         links = links.union(x)
     counts = links.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("n"))
     groups = components(links.where("kind = 1").select("a", "b"), scratch)
-    classes = classes.select("dim", "key", "id", "copies").join(counts, "id", "left").join(groups, "id", "left")
-    classes = classes.select("dim", "key", F.coalesce("component", "id").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    classes = classes.select("dim", "key", "id", "first", "copies").join(counts, "id", "left").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = classes.groupBy("component").agg(F.min("first").alias("least"))
+    classes = classes.join(least, "component").select("dim", "key", F.lit(True).alias("valid"), "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
     out = clean.select("id", "dim", "key").join(classes, ["dim", "key"], "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    component = F.when(F.col("valid"), F.col("least")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -334,8 +334,11 @@ def test_embeddings(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_groups(df).collect()}
     assert got.keys() == set(range(len(rows)))
     found = sum(g[0] for g in got.values())
-    assert 0.9 * 2 * len(links) <= found <= 2 * len(links) and all(got[i][0] <= n[i] for i in got)
+    assert 0.97 * 2 * len(links) <= found <= 2 * len(links) and all(got[i][0] <= n[i] for i in got)
     assert sum(got[i][1] == group[i] for i in got) >= 0.97 * len(rows)
+    ids = [(None, rows[0]), (5, rows[0]), (5, rows[20]), (7, [2 * x for x in rows[20]]), (None, rows[60]), (None, None)]
+    twice = sorted((str(r["vec_id"]), r["n_links"], r["component_id"], r["kept"]) for r in embedding_groups(spark.createDataFrame(ids, "vec_id long, embedding array<double>")).collect())
+    assert twice == [("5", 1, 5, True), ("5", 1, 5, True), ("7", 1, 5, False), ("None", 0, None, True), ("None", 0, None, True), ("None", 1, 5, False)]
     assert embedding_groups(df.where("false")).count() == 0
 
 

@@ -13,12 +13,17 @@ members of other components, in blocks of bounded size (a matrix product for
 two blocks; only links leave it). At the end, each pair of classes that shares
 a bucket was compared or is in one component.
 
-Every link is confirmed on the full sets.
+Every link is confirmed on the full sets. Before the second step moves any set,
+signatures (8 bits of each bin) show which classes of a bucket can have a link
+outside their component at all: two sets of the least similarity agree in fewer
+than MinHash.signs of the bins with a chance of about 1e-6 (5 standard deviations).
 
 Defined results: null or wordless text has an empty set, no links, and its own
-id as component. Repeated ids are not expected (doc_id is the key). An empty
-table gives an empty result. Columns other than the two that are named are
-not read, so their names can't clash.
+id as component. Rows with one id or with a null id are told apart by their
+row keys; a null id is a component's id only where it has no other, and kept
+then. Rows that repeat an id and a set are all kept, or none of them. An empty
+table gives an empty result. Columns other than the two that are named are not
+read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .graph import components
-from .store import Scratch
+from .store import ROW, Scratch, numbered
 
 #: Bits of a shingle's hash. Two different shingles of one pair of documents with 20,000 words each agree with a chance of 1e-7.
 BITS = 52
@@ -55,6 +60,12 @@ class MinHash:
     def bins(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def signs(self) -> int:
+        """Bins in which two signatures must agree at least."""
+        share = self.percent / 100
+        return int(self.bins * share - 5 * (self.bins * share * (1 - share)) ** 0.5)
+
 
 def densify(signature: np.ndarray, there: np.ndarray, seed: int) -> np.ndarray:
     """Fill empty bins: each follows its own fixed random sequence of bins up to the first that isn't empty.
@@ -73,8 +84,8 @@ def densify(signature: np.ndarray, there: np.ndarray, seed: int) -> np.ndarray:
     return signature
 
 
-def sketches(keys: np.ndarray, docs: int, p: MinHash) -> np.ndarray:
-    """(docs, bands) band hashes from sorted distinct (row, shingle) keys; rows without shingles have unused values."""
+def sketches(keys: np.ndarray, docs: int, p: MinHash) -> tuple[np.ndarray, np.ndarray]:
+    """((docs, bands) band hashes, (docs, bins) signatures of 8 bits) from sorted distinct (row, shingle) keys; rows without shingles have unused values."""
     row, h = (keys >> T.U(BITS)).astype(np.int64), keys & T.U((1 << BITS) - 1)
     bin_ = (((h >> T.U(BITS - 32)) * T.U(p.bins)) >> T.U(32)).astype(np.int64)
     cell = row * p.bins + bin_
@@ -85,13 +96,12 @@ def sketches(keys: np.ndarray, docs: int, p: MinHash) -> np.ndarray:
     bands = np.zeros((docs, p.bands), dtype=np.uint64)
     for k in range(p.rows):
         bands += signature[:, k :: p.rows] * T.MULTIPLIERS[k]
-    return T.mix(bands + np.arange(p.bands, dtype=np.uint64)[None, :] * T.MULTIPLIERS[6])
+    return T.mix(bands + np.arange(p.bands, dtype=np.uint64)[None, :] * T.MULTIPLIERS[6]), signature.astype(np.uint8)
 
 
 def _sketch(batches, p: MinHash):
     for batch in batches:
-        ids = batch.column(0)
-        for at, to, data, offsets in T.pieces(batch.column(1)):
+        for at, to, data, offsets in T.pieces(batch.column(2)):
             keys = T.shingle_keys(T.lowered(data), offsets, p.width, BITS)
             row = (keys >> T.U(BITS)).astype(np.int64)
             count = np.bincount(row, minlength=to - at)
@@ -99,11 +109,11 @@ def _sketch(batches, p: MinHash):
             scrambled = T.mix(keys & T.U((1 << BITS) - 1))
             both = [np.concatenate([[T.U(0)], np.cumsum(x)]) for x in (scrambled, T.mix(scrambled + T.MULTIPLIERS[0]))]
             prints = [(x[first[1:]] - x[first[:-1]]).view(np.int64) for x in both]
-            bands = sketches(keys, to - at, p)[count > 0].view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(at, to - at), pa.array(count.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), T.list_column(bands.ravel(), np.where(count > 0, p.bands, 0))],
-                names=["id", "n", "f", "g", "bands"],
-            )
+            bands, signs = sketches(keys, to - at, p)
+            bands = bands[count > 0].view(np.int64)
+            signs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(p.bins), to - at, [None, pa.py_buffer(signs.tobytes())]).cast(pa.binary())
+            own = [batch.column(k).slice(at, to - at) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(count.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]), T.list_column(bands.ravel(), np.where(count > 0, p.bands, 0)), signs], names=["row", "id", "n", "f", "g", "bands", "signs"])
 
 
 def _sets(batches, p: MinHash):
@@ -116,6 +126,29 @@ def _sets(batches, p: MinHash):
             yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), T.list_column(hashes, np.bincount(row, minlength=to - at))], names=["id", "items"])
 
 
+def _hopeful(batches, p: MinHash, tile: int = 256):
+    """(key, id) of the classes in two parts of a bucket that may have a link to another component there."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            left, right = batch.column(1)[k].values, batch.column(2)[k].values
+            (li, lc, ln), (ri, rc, rn) = ([side.field(c).to_numpy() for c in ("id", "comp", "n")] for side in (left, right))
+            ls, rs = (np.frombuffer(b"".join(side.field("signs").to_pylist()), dtype=np.uint8).reshape(-1, p.bins) for side in (left, right))
+            found = []
+            for at in range(0, len(li), tile):
+                a = slice(at, at + tile)
+                for to in range(0, len(ri), tile):
+                    b = slice(to, to + tile)
+                    may = (lc[a, None] != rc[None, b]) & (100 * np.minimum(ln[a, None], rn[None, b]) >= p.percent * np.maximum(ln[a, None], rn[None, b]))
+                    i, j = np.nonzero(may)
+                    for low in range(0, len(i), 1 << 14):
+                        x, y = i[low : low + (1 << 14)], j[low : low + (1 << 14)]
+                        good = (ls[a][x] == rs[b][y]).sum(axis=1) >= p.signs
+                        found += [li[a][x[good]], ri[b][y[good]]]
+                        found = [np.unique(np.concatenate(found))]
+            if found and len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[0]), batch.column(0)[k].as_py())), pa.array(found[0])], names=["key", "id"])
+
+
 def _confirm(batches, percent: int):
     """Pairs whose sets are similar enough; both sets are sorted and distinct."""
     for batch in batches:
@@ -133,11 +166,11 @@ def _confirm(batches, percent: int):
         yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
 
-def _blocks(rows: DataFrame, sets: DataFrame, items: int) -> DataFrame:
-    """(key, block): a bucket's classes with their sets, in blocks of about `items` shingles; a larger set is about a block of its own."""
+def _blocks(rows: DataFrame, what: DataFrame, column: str, items: int) -> DataFrame:
+    """(key, block): a bucket's classes with `column` of what, in blocks of about `items` shingles; a larger set is about a block of its own."""
     parts = rows.groupBy("key").agg(F.ceil(F.sum("n") / items).alias("parts"))
     dealt = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
-    return dealt.join(sets, "id").groupBy("key", "part").agg(F.collect_list(F.struct("id", "comp", "items")).alias("block")).drop("part")
+    return dealt.join(what, "id").groupBy("key", "part").agg(F.collect_list(F.struct("id", "comp", "n", column)).alias("block")).drop("part")
 
 
 def _incidence(codes: np.ndarray, row: np.ndarray, rows: int, low: int, high: int) -> np.ndarray:
@@ -148,7 +181,7 @@ def _incidence(codes: np.ndarray, row: np.ndarray, rows: int, low: int, high: in
 
 
 def _compare(batches, percent: int, columns: int = 4096, tile: int = 1024):
-    """Links between two blocks' classes of different components, from exact intersection sizes."""
+    """Links between two blocks' components, from exact intersection sizes of their classes."""
     for batch in batches:
         for k in range(batch.num_rows):
             ids, comps, items, rows = [], [], [], []
@@ -178,9 +211,10 @@ def _compare(batches, percent: int, columns: int = 4096, tile: int = 1024):
                         same += _incidence(codes[0][left], rows[0][left] - i, same.shape[0], low, high) @ _incidence(codes[1][right], rows[1][right] - j, same.shape[1], low, high).T
                     total = size[0][mine][:, None] + size[1][other][None, :] - same
                     a, b = np.nonzero((100 * same >= percent * total) & (comps[0][mine][:, None] != comps[1][other][None, :]))
-                    found.append((ids[0][mine][a], ids[1][other][b]))
-            a, b = (np.concatenate(x) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+                    a, b = comps[0][mine][a], comps[1][other][b]
+                    found.append(np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1))
+            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: MinHash | None = None) -> DataFrame:
@@ -188,31 +222,32 @@ def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     p = params or MinHash()
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = scratch.save(source.mapInArrow(lambda it: _sketch(it, p), "id long, n long, f long, g long, bands array<long>"))
+    source = numbered(docs, scratch).select("row", F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sketch = scratch.save(source.mapInArrow(lambda it: _sketch(it, p), f"row {ROW}, id long, n long, f long, g long, bands array<long>, signs binary"))
 
-    classes = scratch.save(sketch.where("n > 0").groupBy("f", "g", "n").agg(F.min("id").alias("rep")))
-    members = sketch.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", F.explode("bands").alias("key"))
+    classes = sketch.where("n > 0").groupBy("f", "g", "n").agg(F.min("id").alias("first"), F.min("row").alias("row"))
+    classes = scratch.save(classes.withColumn("v", F.monotonically_increasing_id()))
+    own = scratch.save(sketch.select("row", "n", "bands", "signs").join(classes.select("row", F.col("v").alias("id")), "row"))
+    members = own.select("id", "n", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     members = scratch.save(members.join(shared, "key").select("key", "id", "n", "m"))
     degree = members.groupBy("id").agg(F.sum("m").alias("degree"))
     members = scratch.save(members.join(degree, "id"))
 
-    def set_of(need: DataFrame) -> DataFrame:
-        return source.join(need, "id", "left_semi").mapInArrow(lambda it: _sets(it, p), "id long, items array<long>")
+    # The wanted ids grow with the table, so they are not broadcast, and texts move once.
+    wanted = own.select("row", "id").join(degree.select("id"), "id", "left_semi")
+    sets = source.select("row", "text").hint("merge").join(wanted, "row").select("id", "text")
+    sets = scratch.save(sets.mapInArrow(lambda it: _sets(it, p), "id long, items array<long>"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        sets = scratch.save(set_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()))
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("right")), "b")
-        found = scratch.save(both.select("a", "b", "left", "right").mapInArrow(lambda it: _confirm(it, p.percent), "a long, b long"))
-        scratch.drop(sets)
-        return found
+        return scratch.save(both.select("a", "b", "left", "right").mapInArrow(lambda it: _confirm(it, p.percent), "a long, b long"))
 
     sized = f"100 * least(n, cn) >= {p.percent} * greatest(n, cn)"
     pair = [F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")]
     centre = members.groupBy("key").agg(F.max(F.struct("degree", -F.col("id"), F.col("id").alias("c"), F.col("n").alias("cn"))).alias("best")).select("key", "best.c", "best.cn")
     links = confirmed(scratch.save(members.join(centre, "key").where("id <> c").where(sized).select(*pair).distinct()))
-    groups = components(links, scratch)
+    groups = scratch.save(components(links, scratch))
 
     # A bucket whose classes still lie in several components may hold a link that no star has seen.
     wide = members.where("m > 2").select("key", "id", "n")
@@ -220,14 +255,20 @@ def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("k"))
     main = sizes.groupBy("key").agg(F.max(F.struct("k", -F.col("comp"), "comp")).alias("best"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("best.comp").alias("main"))
     placed = scratch.save(placed.join(main, "key"))
-    sets = scratch.save(set_of(placed.select("id").distinct()))
-    outside = _blocks(placed.where("comp <> main"), sets, LEFT_ITEMS).withColumnRenamed("block", "left")
-    inside = _blocks(placed, sets, RIGHT_ITEMS).withColumnRenamed("block", "right")
+    signs = own.select("id", "signs")
+    outside = _blocks(placed.where("comp <> main"), signs, "signs", RIGHT_ITEMS).withColumnRenamed("block", "left")
+    inside = _blocks(placed, signs, "signs", RIGHT_ITEMS).withColumnRenamed("block", "right")
+    hopeful = scratch.save(outside.join(inside, "key").select("key", "left", "right").mapInArrow(lambda it: _hopeful(it, p), "key long, id long").distinct())
+    placed = placed.join(hopeful, ["key", "id"])
+    outside = _blocks(placed.where("comp <> main"), sets, "items", LEFT_ITEMS).withColumnRenamed("block", "left")
+    inside = _blocks(placed, sets, "items", RIGHT_ITEMS).withColumnRenamed("block", "right")
     found = scratch.save(outside.join(inside, "key").select("left", "right").mapInArrow(lambda it: _compare(it, p.percent), "a long, b long").distinct())
-    if not found.isEmpty():
-        groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found), scratch)
-
-    least = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("f", "g", "n", F.coalesce("component", "rep").alias("component"))
-    out = sketch.drop("bands").join(least, ["f", "g", "n"], "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    joined = components(found, scratch).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+
+    groups = groups.join(joined, "component", "left").select(F.col("id").alias("v"), F.coalesce("whole", "component").alias("component"))
+    groups = classes.join(groups, "v", "left").join(joined.withColumnRenamed("component", "v").withColumnRenamed("whole", "lone"), "v", "left").select("f", "g", "n", "first", F.coalesce("component", "lone", "v").alias("component"))
+    least = groups.groupBy("component").agg(F.min("first").alias("least"))
+    least = groups.join(least, "component").select("f", "g", "n", F.lit(True).alias("valid"), "least")
+    out = sketch.select("id", "n", "f", "g").join(least, ["f", "g", "n"], "left")
+    component = F.when(F.col("valid"), F.col("least")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

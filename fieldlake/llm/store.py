@@ -61,21 +61,32 @@ def numbered(docs: DataFrame, scratch: Scratch, name: str = "row") -> DataFrame:
 
     A row that comes straight from a file, through projections and filters,
     has the hash of its file's path and its place in the file, which stay the
-    same whenever the table is read. All other rows are numbered and written.
+    same whenever the table is read. All other rows are numbered and written;
+    the same DataFrame gets the same keys again.
     """
+    keyed = docs.__dict__.get("_fieldlake_keyed")
+    if keyed is None:
+        keyed = docs.__dict__["_fieldlake_keyed"] = _keyed(docs, scratch)
+    return keyed if name == KEY else keyed.withColumn(name, F.col(KEY)).drop(KEY)
+
+
+def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
     plan = docs._jdf.queryExecution().analyzed()
     while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         plan = plan.children().head()
     if plan.nodeName() == "LogicalRelation":
         try:
             at = docs.metadataColumn("_metadata")
-            out = docs.withColumn(name, F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("place")))
+            out = docs.withColumn(KEY, F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("place")))
             out.schema  # resolved here: a format without row places is known now
             return out
         except AnalysisException:
             pass
-    return scratch.save(docs.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("place"))))
+    return scratch.save(docs.withColumn(KEY, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("place"))))
+
 
+#: The column of a row's key beside columns of any name.
+KEY = "__row"
 
 #: The type of a row's key, as DDL and for Arrow.
 ROW = "struct<file:bigint,place:bigint>"

@@ -17,8 +17,9 @@ number of ranges that grows with their number.
 
 Defined results: null text is the empty text. A text shorter than `length` is
 kept whole. Very long texts and single runs of one byte give many segments of
-few classes. Equal rows count as each other's copies. An empty table gives an
-empty result. Only the two named columns are read.
+few classes. Equal rows count as each other's copies, whatever their ids; rows
+are told apart by their row keys, so that ids may be null or repeated. An empty
+table gives an empty result. Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .store import Scratch
+from .store import ROW, Scratch, numbered
 from .suffix_array import SEPARATOR, repeated
 
 
@@ -98,7 +99,7 @@ def _segments(batches: Iterator[pa.RecordBatch], p: Repeats) -> Iterator[pa.Reco
         for at, to, base, data, offsets in _slices(batch.column(1), p):
             row, low, count, anchor, content = segments(data, offsets, p)
             ids = batch.column(0).slice(at, to - at).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(low + base), pa.array(count), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))], names=["id", "low", "n", "k", "c"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(low + base), pa.array(count), pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))], names=["row", "low", "n", "k", "c"])
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch], p: Repeats) -> Iterator[pa.RecordBatch]:
@@ -209,18 +210,18 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per document: id, n_bytes, spans (removed runs of bytes, as start and stop), kept (the remaining bytes, which may begin or end inside a character)."""
     p = params or Repeats()
     scratch = Scratch(docs.sparkSession, "repeats")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.expr("cast('' as binary)")).alias("data"))
-    found = scratch.save(source.mapInArrow(lambda it: _segments(it, p), "id long, low long, n long, k long, c long"))
-    classes = found.groupBy("k", "c").agg(F.count("*").alias("m"), F.min(F.struct("id", "low", "n")).alias("one"))
-    classes = scratch.save(classes.select("k", "c", "m", F.col("one.id").alias("id"), F.col("one.low").alias("low"), F.col("one.n").alias("n")))
+    source = numbered(docs, scratch).select("row", F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.expr("cast('' as binary)")).alias("data"))
+    found = scratch.save(source.select("row", "data").mapInArrow(lambda it: _segments(it, p), f"row {ROW}, low long, n long, k long, c long"))
+    classes = found.groupBy("k", "c").agg(F.count("*").alias("m"), F.min(F.struct("row", "low", "n")).alias("one"))
+    classes = scratch.save(classes.select("k", "c", "m", F.col("one.row").alias("row"), F.col("one.low").alias("low"), F.col("one.n").alias("n")))
     size = F.col("n") + p.length - 1
     several = classes.groupBy("k").agg(F.count("*").alias("classes"), F.sum(size).alias("bytes")).where("classes > 1").select("k", (F.col("bytes") > p.hot_bytes).alias("hot"))
-    meeting = scratch.save(classes.join(several, "k").select("k", "c", "hot", "id", "low", "n"))
+    meeting = scratch.save(classes.join(several, "k").select("k", "c", "hot", "row", "low", "n"))
     total = meeting.groupBy("hot").agg(F.sum(size).alias("bytes"), F.sum("n").alias("strings")).collect()
     total = {r["hot"]: r for r in total}
 
-    wanted = meeting.groupBy("id").agg(F.collect_list(F.struct("k", "c", "hot", "low", "n")).alias("parts"))
-    blobs = scratch.save(source.join(wanted, "id").select("data", "parts").mapInArrow(lambda it: _cut_out(it, p), "k long, c long, hot boolean, blob binary"))
+    wanted = meeting.groupBy("row").agg(F.collect_list(F.struct("k", "c", "hot", "low", "n")).alias("parts"))
+    blobs = scratch.save(source.join(wanted, "row").select("data", "parts").mapInArrow(lambda it: _cut_out(it, p), "k long, c long, hot boolean, blob binary"))
     runs = "k long, c long, low long, high long"
     whole = classes.where("m > 1").select("k", "c", F.lit(0).cast("long").alias("low"), F.col("n").alias("high"))
     repeats = whole
@@ -233,7 +234,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         dealt = blobs.where("hot").mapInArrow(lambda it: _dealt(it, ranges, p), "part int, k long, c long, hashes binary, places binary")
         repeats = repeats.union(dealt.repartition(ranges, "part").mapInArrow(_ranged, runs))
     repeats = scratch.save(repeats)
-    spans = found.select("id", F.col("low").alias("base"), "k", "c").join(repeats, ["k", "c"])
-    spans = spans.groupBy("id").agg(F.collect_list(F.struct((F.col("base") + F.col("low")).alias("start"), (F.col("base") + F.col("high") - 1 + p.length).alias("stop"))).alias("found"))
-    both = source.join(spans, "id", "left").select("id", "data", "found")
+    spans = found.select("row", F.col("low").alias("base"), "k", "c").join(repeats, ["k", "c"])
+    spans = spans.groupBy("row").agg(F.collect_list(F.struct((F.col("base") + F.col("low")).alias("start"), (F.col("base") + F.col("high") - 1 + p.length).alias("stop"))).alias("found"))
+    both = source.join(spans, "row", "left").select("id", "data", "found")
     return scratch.save(both.mapInArrow(_removed, "id long, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary"))

@@ -12,9 +12,10 @@ are at most MOST_SHARDS. A document's place in its source comes from sums over
 chunks of documents, so that no source is one task.
 
 Defined results: null or wordless text has size 0 and is never taken. A null
-source is a source, the last one. Equal rows are taken row by row (doc_id is
-the key). Very long texts span many blocks. An empty table gives an empty
-result. Only the three named columns are read.
+source is a source, the last one. Rows are told apart by their row keys: equal
+rows and rows with null or repeated ids are taken row by row. Very long texts
+span many blocks. An empty table gives an empty result. Only the three named
+columns are read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .store import Scratch
+from .store import ROW, Scratch, numbered
 
 #: Words of a block at most; a source with fewer than 256 such blocks has shorter ones.
 BLOCK_WORDS, LEAST_BLOCKS = 64, 256
@@ -86,9 +87,9 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at, to, data, offsets in T.pieces(batch.column(2)):
+        for at, to, data, offsets in T.pieces(batch.column(3)):
             size = np.diff(T.words(data, offsets)[2])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(size.astype(np.int64))], names=["id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, to - at) for k in range(3)), pa.array(size.astype(np.int64))], names=["row", "id", "source", "size"])
 
 
 def _slots(batches: Iterator[pa.RecordBatch], blocks: np.ndarray, seed: int) -> Iterator[pa.RecordBatch]:
@@ -103,13 +104,13 @@ def _slots(batches: Iterator[pa.RecordBatch], blocks: np.ndarray, seed: int) ->
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(documents, fragments).
 
-    documents: id, source, size, source_size, target (words, of its source).
-    fragments: what the mix holds, as shard, slot, turn (times round), id, and the words from..to (after the last) of the document.
+    documents: row (its key, see numbered()), id, source, size, source_size, target (words, of its source).
+    fragments: what the mix holds, as shard, slot, turn (times round), row, and the words from..to (after the last) of the document.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixture")
-    sized = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    sized = scratch.save(sized.mapInArrow(_sizes, "id long, source string, size long"))
+    sized = numbered(docs, scratch).select("row", F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
+    sized = scratch.save(sized.mapInArrow(_sizes, f"row {ROW}, id long, source string, size long"))
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -124,12 +125,12 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     documents = sized.join(sources, sized["source"].eqNullSafe(sources["name"])).drop("name")
 
     chunks = max(1, -(-sum(r["docs"] for r in found) // CHUNK_DOCS))
-    dealt = documents.where("size > 0").select("id", "s", "size", "block_words", F.xxhash64("id", F.lit(seed)).alias("h")).withColumn("chunk", F.pmod("h", F.lit(chunks)))
+    dealt = documents.where("size > 0").select("row", "s", "size", "block_words", F.xxhash64(F.coalesce("id", "row.place"), F.lit(seed)).alias("h")).withColumn("chunk", F.pmod("h", F.lit(chunks)))
     before = dealt.groupBy("s", "chunk").agg(F.sum("size").alias("words")).select("s", "chunk", (F.sum("words").over(Window.partitionBy("s").orderBy("chunk")) - F.col("words")).alias("before"))
-    inside = F.sum("size").over(Window.partitionBy("s", "chunk").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    placed = dealt.withColumn("inside", inside).join(before, ["s", "chunk"]).select("id", "s", "size", "block_words", (F.col("before") + F.col("inside")).alias("start"))
+    inside = F.sum("size").over(Window.partitionBy("s", "chunk").orderBy("h", "row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    placed = dealt.withColumn("inside", inside).join(before, ["s", "chunk"]).select("row", "s", "size", "block_words", (F.col("before") + F.col("inside")).alias("start"))
     held = placed.withColumn("block", F.explode(F.expr("sequence(start div block_words, (start + size - 1) div block_words)")))
-    held = held.select("id", "s", "block", F.expr("greatest(0, block * block_words - start)").alias("from"), F.expr("least(size, (block + 1) * block_words - start)").alias("to"))
+    held = held.select("row", "s", "block", F.expr("greatest(0, block * block_words - start)").alias("from"), F.expr("least(size, (block + 1) * block_words - start)").alias("to"))
 
     slots = max(SHARD_SLOTS, -(-int(quota.sum()) // MOST_SHARDS))
     counts = shard_counts(quota, slots, seed)
@@ -139,14 +140,14 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     drawn = plan.select("shard", "s", F.explode(F.expr("sequence(first, first + n - 1)")).alias("slot"))
     drawn = drawn.mapInArrow(lambda it: _slots(it, blocks, seed), "shard int, s int, slot long, turn long, block long")
     # The slots come from a short plan, whose size says nothing about theirs: they must not be broadcast.
-    fragments = held.hint("merge").join(drawn.hint("merge"), ["s", "block"]).select("shard", "slot", "turn", "id", "from", "to")
-    return documents.select("id", "source", "size", "source_size", "target"), fragments
+    fragments = held.hint("merge").join(drawn.hint("merge"), ["s", "block"]).select("shard", "slot", "turn", "row", "from", "to")
+    return documents.select("row", "id", "source", "size", "source_size", "target"), fragments
 
 
 def taken(documents: DataFrame, fragments: DataFrame) -> DataFrame:
     """documents with taken: the words that the mix takes from each, repeats counted."""
-    words = fragments.groupBy("id").agg(F.sum(F.col("to") - F.col("from")).alias("taken"))
-    return documents.hint("merge").join(words.hint("merge"), "id", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
+    words = fragments.groupBy("row").agg(F.sum(F.col("to") - F.col("from")).alias("taken"))
+    return documents.hint("merge").join(words.hint("merge"), "row", "left").drop("row").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
 
 
 def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,12 +174,13 @@ def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != "parts"])
 
 
-def rendered(docs: DataFrame, fragments: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs as the mix holds them: a row for each document and time round, with the taken words' text in the place of its own.
+def rendered(docs: DataFrame, fragments: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs (those that were mixed) as the mix holds them: a row for each document and time round, with the taken words' text in the place of its own.
 
     A document that is taken whole keeps its exact text; of another, taken runs of words are lines.
     """
-    spans = fragments.groupBy("id", "turn").agg(F.collect_list(F.struct("from", "to")).alias("parts")).withColumnRenamed("id", "__id").drop("turn")
-    packed = docs.select(F.col(id_col).cast("long").alias("__own"), F.struct(*[c for c in docs.columns if c != text_col]).alias("rest"), F.col(text_col).alias("text"))
-    both = packed.hint("merge").join(spans.hint("merge"), F.col("__own") == F.col("__id")).select("rest", "text", "parts")
+    spans = fragments.groupBy("row", "turn").agg(F.collect_list(F.struct("from", "to")).alias("parts")).drop("turn")
+    keyed = numbered(docs, Scratch(docs.sparkSession, "rendered"), "__row")
+    packed = keyed.select("__row", F.struct(*[c for c in docs.columns if c != text_col]).alias("rest"), F.col(text_col).alias("text"))
+    both = packed.hint("merge").join(spans.hint("merge"), F.col("__row") == F.col("row")).select("rest", "text", "parts")
     return both.mapInArrow(_rendered, both.drop("parts").schema).select("rest.*", F.col("text").alias(text_col))

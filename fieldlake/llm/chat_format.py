@@ -77,35 +77,47 @@ def linear_messages(rows: DataFrame, tree: str = "conv_id", order: str = "turn")
     return out.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
-    """tree, leaf, node, up (steps from the leaf), score of every message on every root-to-leaf path."""
+def _tied(a: str, b: str):
+    return F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree"))
+
+
+def branches(messages: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(own, leaves, jumps): each message's score; tree, leaf, total score of each root-to-leaf path; each message's 2^k-th ancestor.
+
+    Messages on or below a cycle are the ones that still have an ancestor when a
+    round has ended no path: each round ends the paths of the least depth that
+    are left.
+    """
     messages = messages.select("tree", "node", "parent", "score")
-    tied = lambda a, b: F.col(f"{a}.tree").eqNullSafe(F.col(f"{b}.tree"))
     there = messages.select("tree", "node")
-    jump = messages.alias("m").join(there.alias("p"), tied("m", "p") & (F.col("m.parent") == F.col("p.node")), "left").select("m.tree", "m.node", F.col("p.node").alias("to"), "m.score")
-    jump = scratch.save(jump)
-    answered = jump.where("to is not null").select("tree", F.col("to").alias("node")).distinct()
-    leaves = jump.alias("m").join(answered.alias("a"), tied("m", "a") & (F.col("m.node") == F.col("a.node")), "left_anti")
-    known = scratch.save(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"), "score"))
-    scores, hop, reach, most = jump.select("tree", "node", "score"), jump.where("to is not null").select("tree", "node", "to"), 1, messages.count()
-    while reach <= most:
-        further = known.alias("k").join(hop.alias("j"), tied("k", "j") & (F.col("k.node") == F.col("j.node"))).select("k.tree", "k.leaf", F.col("j.to").alias("node"), (F.col("k.up") + reach).alias("up"))
-        further = scratch.save(further.alias("f").join(scores.alias("s"), tied("f", "s") & (F.col("f.node") == F.col("s.node"))).select("f.tree", "f.leaf", "f.node", "f.up", "s.score"))
-        if further.isEmpty():
-            break
-        known = known.union(further)
-        hop = scratch.save(hop.alias("a").join(hop.alias("b"), tied("a", "b") & (F.col("a.to") == F.col("b.node"))).select("a.tree", "a.node", F.col("b.to").alias("to")))
-        reach *= 2
-    known = scratch.save(known)  # semi-joins would be pushed into each branch of the union
-    roots = jump.where("to is null").select("tree", "node")
-    rooted = known.alias("k").join(roots.alias("r"), tied("k", "r") & (F.col("k.node") == F.col("r.node")), "left_semi").select("tree", "leaf").distinct()
-    return scratch.save(known.alias("k").join(rooted.alias("r"), tied("k", "r") & (F.col("k.leaf") == F.col("r.leaf")), "left_semi"))
-
-
-def best_paths(found: DataFrame) -> DataFrame:
+    state = messages.alias("m").join(there.alias("p"), _tied("m", "p") & (F.col("m.parent") == F.col("p.node")), "left").select("m.tree", "m.node", F.col("p.node").alias("to"), F.col("m.score").alias("total"))
+    first = state = scratch.save(state)
+    jumps, before = [], None
+    while (left := state.where("to is not null").count()) and left != before:
+        jumps.append(state.where("to is not null").select("tree", "node", "to"))
+        before = left
+        state = state.alias("a").join(state.alias("b"), _tied("a", "b") & (F.col("a.to") == F.col("b.node")), "left").select("a.tree", "a.node", "b.to", (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"))
+        state = scratch.save(state)
+    answered = first.where("to is not null").select("tree", F.col("to").alias("node")).distinct()
+    leaves = state.where("to is null").alias("m").join(answered.alias("a"), _tied("m", "a") & (F.col("m.node") == F.col("a.node")), "left_anti").select("tree", F.col("node").alias("leaf"), "total")
+    return first.select("tree", "node", F.col("total").alias("score")), leaves, jumps
+
+
+def best_leaves(leaves: DataFrame) -> DataFrame:
     """tree, leaf of each tree's path with the highest total score; the smallest leaf wins ties."""
-    total = found.groupBy("tree", "leaf").agg(F.sum("score").alias("total"))
-    return total.groupBy("tree").agg(F.max_by("leaf", F.struct("total", -F.col("leaf"))).alias("leaf"))
+    return leaves.groupBy("tree").agg(F.max_by("leaf", F.struct("total", -F.col("leaf"))).alias("leaf"))
+
+
+def paths(messages: DataFrame, scratch: Scratch, best_only: bool = False) -> DataFrame:
+    """tree, leaf, node, up (steps from the leaf), score of every message on every root-to-leaf path, or on each tree's best."""
+    own, leaves, jumps = branches(messages, scratch)
+    leaves = best_leaves(leaves) if best_only else leaves
+    known = scratch.save(leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up")))
+    for k, jump in enumerate(jumps):
+        further = known.alias("k").join(jump.alias("j"), _tied("k", "j") & (F.col("k.node") == F.col("j.node"))).select("k.tree", "k.leaf", F.col("j.to").alias("node"), (F.col("k.up") + (1 << k)).alias("up"))
+        known = known.union(scratch.save(further))
+    known = scratch.save(known)  # the next join would be pushed into each branch of the union
+    return known.alias("k").join(own.alias("s"), _tied("k", "s") & (F.col("k.node") == F.col("s.node"))).select("k.tree", "k.leaf", "k.node", "k.up", "s.score")
 
 
 def _formatted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +132,7 @@ def formatted(messages: DataFrame, scratch: Scratch, best_only: bool = True) ->
 
     messages: tree, node (long), parent, role, text, score.
     """
-    found = paths(messages, scratch)
-    if best_only:
-        found = found.alias("k").join(best_paths(found).alias("b"), F.col("k.tree").eqNullSafe(F.col("b.tree")) & (F.col("k.leaf") == F.col("b.leaf")), "left_semi")
+    found = paths(messages, scratch, best_only)
     said = found.alias("k").join(messages.alias("m"), F.col("k.tree").eqNullSafe(F.col("m.tree")) & (F.col("k.node") == F.col("m.node"))).select("k.tree", "k.leaf", (-F.col("k.up")).alias("place"), "m.role", "m.text")
     turns = said.groupBy("tree", "leaf").agg(F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
     kind = messages.schema["tree"].dataType.simpleString()

@@ -141,6 +141,19 @@ def test_suffix_array_dedup(docs, empty, rows, hot_bytes):
     assert without_repeats(empty).count() == 0
 
 
+def test_repeats_with_null_and_repeated_ids(spark):
+    from fieldlake.llm.suffix_dedup import Repeats, without_repeats
+
+    rng = random.Random(19)
+    passage, own = prose(rng, 40), [prose(rng, 20) for _ in range(5)]
+    texts = [own[0] + passage, passage + own[1], own[2], own[3] + passage + own[4], "", own[2]]
+    rows = list(zip([None, 3, 3, None, 3, 8], texts))
+    want = repeats(dict(enumerate(texts)), 50)
+    want = sorted((str(rows[k][0]), v[0], v[1], v[2]) for k, v in want.items())
+    found = without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), params=Repeats(length=50, gram=8)).collect()
+    assert sorted((str(r["id"]), r["n_bytes"], bytes(r["kept"]), [(x["start"], x["stop"]) for x in r["spans"]]) for r in found) == want
+
+
 def test_suffix_array_kernels():
     from fieldlake.llm.suffix_array import repeated, suffix_array
 
@@ -188,6 +201,21 @@ def test_mixture(docs, empty, rows):
     assert taken(*mixture(empty)).count() == 0
 
 
+def test_mixture_of_null_and_repeated_ids(spark):
+    from fieldlake.llm.mixture import mixture, rendered, taken
+
+    rng = random.Random(17)
+    rows = [(k, prose(rng, n), s) for k, n, s in ((1, 300, "a"), (1, 300, "a"), (1, 200, "b"), (None, 250, "a"), (None, 40, None), (2, 500, "c"))]
+    rows[1] = rows[0]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
+    documents, fragments = mixture(docs)
+    got = [(r["id"], r["source"], r["size"], r["taken"]) for r in taken(documents, fragments).collect()]
+    assert sorted((str(i), str(s), n) for i, s, n, _ in got) == sorted((str(i), str(s), len(WORD.findall(t))) for i, t, s in rows)
+    assert all(0 <= t <= 2 * n for _, _, n, t in got) and sum(t for *_, t in got) > 1500
+    held = sum(len(WORD.findall(r["text"])) for r in rendered(docs, fragments).collect())
+    assert held == sum(t for *_, t in got)
+
+
 def test_shares_are_capped_and_passed_on():
     from fieldlake.llm.mixture import permuted, shard_counts, targets
 
@@ -575,6 +603,18 @@ def test_reply_trees(spark):
     assert every == [(1, ["m1", "m2", "m3"]), (1, ["m1", "m2", "m4"]), (2, ["m9"]), (4, ["m1", "m5"]), (4, ["m1", "m6"])]
 
 
+def test_messages_below_cycles_cost_a_row_each_round(spark, monkeypatch):
+    from fieldlake.llm import chat_format as C
+    from fieldlake.llm.store import Scratch
+
+    sizes, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df: sizes.append((out := save(self, df)).count()) or out)
+    nodes = [(1, k, k - 1 if k else None, 1.0) for k in range(300)] + [(2, 0, 1, 1.0), (2, 1, 0, 1.0), (2, 2, 1, 1.0)] + [(3, k, (k + 1) % 5, 1.0) for k in range(5)]
+    m = spark.createDataFrame([(t, n, p, "user", "x", s) for t, n, p, s in nodes], "tree long, node long, parent long, role string, text string, score double")
+    got = {r["tree"]: len(C.read_turns(r["formatted"])) for r in C.formatted(m, Scratch(spark, "cycles")).collect()}
+    assert got == {1: 300} and max(sizes) <= len(nodes) and len(sizes) <= 24
+
+
 def test_language_id(spark):
     from fieldlake.llm import language_id as I
 

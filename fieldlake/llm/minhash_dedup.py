@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .graph import components
-from .store import ROW, Scratch, numbered
+from .store import KEY, ROW, Scratch, numbered
 
 #: Bits of a shingle's hash. Two different shingles of one pair of documents with 20,000 words each agree with a chance of 1e-7.
 BITS = 52
@@ -217,16 +217,16 @@ def _compare(batches, percent: int, columns: int = 4096, tile: int = 1024):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: MinHash | None = None) -> DataFrame:
-    """Per document: id_col, n_shingles (set size), component_id (smallest id reachable by links), kept (it is its component's smallest)."""
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: MinHash | None = None) -> DataFrame:
+    """Per document: row (its key, see numbered()), id, n_shingles, component_id, stays (it is its component's first, by id and row key, or has no words)."""
     p = params or MinHash()
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    source = numbered(docs, scratch).select("row", F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = numbered(docs, scratch, "row").select("row", F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = scratch.save(source.mapInArrow(lambda it: _sketch(it, p), f"row {ROW}, id long, n long, f long, g long, bands array<long>, signs binary"))
 
-    classes = sketch.where("n > 0").groupBy("f", "g", "n").agg(F.min("id").alias("first"), F.min("row").alias("row"))
-    classes = scratch.save(classes.withColumn("v", F.monotonically_increasing_id()))
+    classes = sketch.where("n > 0").groupBy("f", "g", "n").agg(F.min(F.struct(F.isnull("id").alias("last"), "id", "row")).alias("first"))
+    classes = scratch.save(classes.withColumn("row", F.col("first.row")).withColumn("v", F.monotonically_increasing_id()))
     own = scratch.save(sketch.select("row", "n", "bands", "signs").join(classes.select("row", F.col("v").alias("id")), "row"))
     members = own.select("id", "n", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
@@ -269,6 +269,19 @@ def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = classes.join(groups, "v", "left").join(joined.withColumnRenamed("component", "v").withColumnRenamed("whole", "lone"), "v", "left").select("f", "g", "n", "first", F.coalesce("component", "lone", "v").alias("component"))
     least = groups.groupBy("component").agg(F.min("first").alias("least"))
     least = groups.join(least, "component").select("f", "g", "n", F.lit(True).alias("valid"), "least")
-    out = sketch.select("id", "n", "f", "g").join(least, ["f", "g", "n"], "left")
-    component = F.when(F.col("valid"), F.col("least")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    out = sketch.select("row", "id", "n", "f", "g").join(least, ["f", "g", "n"], "left")
+    component = F.when(F.col("valid"), F.col("least.id")).otherwise(F.col("id"))
+    return out.select("row", "id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("row") == F.col("least.row"), F.lit(True)).alias("stays"))
+
+
+def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: MinHash | None = None) -> DataFrame:
+    """Per document: id_col, n_shingles (set size), component_id (smallest id reachable by links), kept (it is its component's smallest)."""
+    found = near_groups(docs, id_col, text_col, params)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: MinHash | None = None) -> DataFrame:
+    """docs with one document of each component: the one with the smallest id, and of rows with one id the first by its key. Documents without words stay."""
+    keyed = numbered(docs, Scratch(docs.sparkSession, "minhash"), KEY)
+    stays = near_groups(docs, id_col, text_col, params).where("stays").select(F.col("row").alias(KEY))
+    return keyed.join(stays, KEY, "left_semi").drop(KEY)

@@ -145,12 +145,12 @@ def spearman(t: Tables):
     return r.select(rank("m").alias("x"), rank("n").alias("y")).agg(F.round(F.corr("x", "y"), 6).alias("rho"))
 
 
-@query("array_zscore", f"select vec_id, i::bigint as i, round((v - m) / greatest(s, 1e-9), 6) as z from {_LONG} join (select vec_id, avg(v) as m, stddev_pop(v) as s from {_LONG} group by 1) using (vec_id) where i < 4")
+@query("array_zscore", f"select vec_id, i::bigint as i, round((v - m) / greatest(s, 1e-9), 6) as z from {_LONG} join (select vec_id, avg(v) as m, stddev_pop(v) as s from {_LONG} group by 1) using (vec_id)")
 def array_zscore(t: Tables):
     v = F.transform("embedding", lambda x: x.cast("double"))
     sums = t.embeddings.select("vec_id", v.alias("v")).withColumn("m", F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v"))
     sums = sums.withColumn("s", F.sqrt(F.aggregate(F.transform("v", lambda x: (x - F.col("m")) * (x - F.col("m"))), F.lit(0.0), lambda a, x: a + x) / F.size("v")))
-    return sums.select("vec_id", "m", "s", F.posexplode(F.slice("v", 1, 4)).alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.round((F.col("x") - F.col("m")) / F.greatest(F.col("s"), F.lit(1e-9)), 6).alias("z"))
+    return sums.select("vec_id", "m", "s", F.posexplode("v").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.round((F.col("x") - F.col("m")) / F.greatest(F.col("s"), F.lit(1e-9)), 6).alias("z"))
 
 
 @query("array_slice", "select vec_id, len(embedding[9:24])::bigint as n, embedding[9]::double as first, embedding[24]::double as last from embeddings")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balance, detections, identity, integrity, joins, metrics, models, quality, windows, workflows  # noqa: F401
+from . import balance, detections, identity, integrity, joins, metrics, models, quality, records, windows, workflows  # noqa: F401
 from .base import FOUND, Tables
 
 

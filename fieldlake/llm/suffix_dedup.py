@@ -39,11 +39,11 @@ from .suffix_array import SEPARATOR, repeated
 
 @dataclass(frozen=True)
 class Repeats:
-    """Parameters: bytes of a string, of an anchor's k-gram; bytes of a shard; bytes of an anchor's segments from which it is split; strings of a range."""
+    """Parameters: bytes of a string, of an anchor's k-gram; bytes of a suffix array, about (a task makes two or so, one after the other); bytes of an anchor's segments from which it is split; strings of a range."""
 
     length: int = 400
     gram: int = 24
-    shard_bytes: int = 4 << 20
+    shard_bytes: int = 2 << 20
     hot_bytes: int = 2 << 20
     range_strings: int = 1 << 20
 
@@ -80,7 +80,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, p: Repeats) -> tuple[np.ndar
 
 
 #: Bytes of a slice; places inside a slice have 24 bits. A longer text is cut into slices that share length - 1 bytes.
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 def _slices(texts: pa.Array, p: Repeats) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
@@ -226,7 +226,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = classes.where("m > 1").select("k", "c", F.lit(0).cast("long").alias("low"), F.col("n").alias("high"))
     repeats = whole
     if False in total:
-        shards = max(1, -(-total[False]["bytes"] // p.shard_bytes))
+        shards = max(1, -(-total[False]["bytes"] // (2 * p.shard_bytes)))
         dealt = blobs.where("not hot").select("k", "c", "blob").repartition(shards, "k").sortWithinPartitions("k", "c")
         repeats = repeats.union(dealt.mapInArrow(lambda it: _shard(it, p), runs))
     if True in total:

@@ -90,13 +90,15 @@ def branches(messages: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     """
     messages = messages.select("tree", "node", "parent", "score")
     there = messages.select("tree", "node")
-    state = messages.alias("m").join(there.alias("p"), _tied("m", "p") & (F.col("m.parent") == F.col("p.node")), "left").select("m.tree", "m.node", F.col("p.node").alias("to"), F.col("m.score").alias("total"))
+    state = messages.alias("m").join(there.alias("p"), _tied("m", "p") & (F.col("m.parent") == F.col("p.node")), "left").select("m.tree", "m.node", F.col("p.node").alias("to"), F.coalesce("m.score", F.lit(0.0)).alias("total"))
     first = state = scratch.save(state)
     jumps, before = [], None
     while (left := state.where("to is not null").count()) and left != before:
         jumps.append(state.where("to is not null").select("tree", "node", "to"))
         before = left
-        state = state.alias("a").join(state.alias("b"), _tied("a", "b") & (F.col("a.to") == F.col("b.node")), "left").select("a.tree", "a.node", "b.to", (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"))
+        # Only messages that still have an ancestor move; each ancestor is a message, so none is lost.
+        moved = state.where("to is not null").alias("a").join(state.alias("b"), _tied("a", "b") & (F.col("a.to") == F.col("b.node"))).select("a.tree", "a.node", "b.to", (F.col("a.total") + F.col("b.total")).alias("total"))
+        state = moved.union(state.where("to is null").select("tree", "node", "to", "total"))
         state = scratch.save(state)
     answered = first.where("to is not null").select("tree", F.col("to").alias("node")).distinct()
     leaves = state.where("to is null").alias("m").join(answered.alias("a"), _tied("m", "a") & (F.col("m.node") == F.col("a.node")), "left_anti").select("tree", F.col("node").alias("leaf"), "total")

@@ -365,6 +365,16 @@ def test_edit_distance(monkeypatch):
     assert 20 < sum(want) < len(want) - 20
     assert L.similar(*zip(*pairs), 80).tolist() == want
     assert not any(L.near(a, b, max(len(a), len(b)) // 5) and not w for (a, b), w in zip(pairs, want))
+    assert L.similar(*zip(*pairs), 80, often=False).tolist() == want
+    for name, small in (("MASK_BYTES", 1), ("MOST_PAIRS", 3)):
+        with monkeypatch.context() as patch:
+            patch.setattr(L, name, small)
+            assert L.similar(*zip(*pairs), 80, often=False).tolist() == want
+    for most in (0, 1, 62, 63, 64, 65, 127, 128, 200):  # as many diagonals as words hold, one less and one more
+        a, b = (["".join(rng.choice("ab") for _ in range(rng.randint(150, 200))) for _ in range(12)] for _ in range(2))
+        a, b = zip(*(sorted(x, key=len) for x in zip(a, b)))
+        limits = np.array([max(most, len(y) - len(x)) for x, y in zip(a, b)])
+        assert L._within(a, b, limits).tolist() == [distance(x, y) <= k for x, y, k in zip(a, b, limits)]
     monkeypatch.setattr(L, "LONG", 10)
     assert L.similar(*zip(*pairs), 80).tolist() == want
 

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Bytes of an Arrow batch on its way to a Python worker; one longer row is a batch of its own.
 BATCH_BYTES = 16 << 20
 
+#: Spark's setting by which an execution deletes its shuffles' files when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; where it is unset (a local session, as in tests), a new local folder."""
@@ -42,10 +45,15 @@ class Scratch:
             spark.conf.set(key, BATCH_BYTES)
 
     def save(self, df: DataFrame) -> DataFrame:
-        """Write and reread df."""
+        """Write and reread df. What its shuffles wrote is deleted with the end of the write: the table takes its place."""
         self.written += 1
         path = f"{self.folder}/{self.written:04d}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEAN)
+        self.spark.conf.set(CLEAN, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._fieldlake_path = path
         return out

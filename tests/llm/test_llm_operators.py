@@ -379,6 +379,18 @@ def test_edit_distance(monkeypatch):
     assert L.similar(*zip(*pairs), 80).tolist() == want
 
 
+def test_saved_tables_leave_no_shuffles(spark):
+    from fieldlake.llm.store import CLEAN, Scratch
+
+    before = spark.conf.get(CLEAN)
+    counted = spark.range(1000).selectExpr("id % 10 as k").groupBy("k").count()
+    table = Scratch(spark, "shuffles").save(counted)
+    assert sorted(table.collect()) == sorted(counted.collect()) and spark.conf.get(CLEAN) == before
+    with pytest.raises(Exception):
+        Scratch(spark, "shuffles").save(spark.range(3).selectExpr("raise_error('no') as x"))
+    assert spark.conf.get(CLEAN) == before
+
+
 def test_embeddings(spark):
     from fieldlake.llm.embedding_dedup import embedding_groups
 

@@ -366,7 +366,7 @@ def test_edit_distance(monkeypatch):
     assert L.similar(*zip(*pairs), 80).tolist() == want
     assert not any(L.near(a, b, max(len(a), len(b)) // 5) and not w for (a, b), w in zip(pairs, want))
     assert L.similar(*zip(*pairs), 80, often=False).tolist() == want
-    for name, small in (("MASK_BYTES", 1), ("MOST_PAIRS", 3)):
+    for name, small in (("MASK_BYTES", 1), ("MOST_PAIRS", 3), ("FEW", 0), ("FEW", 1000)):
         with monkeypatch.context() as patch:
             patch.setattr(L, name, small)
             assert L.similar(*zip(*pairs), 80, often=False).tolist() == want

@@ -91,3 +91,25 @@ def test_evidence(spark):
         E.evidence(make(0.0), "id", "v", "l", "u", most_rows=5)
     with pytest.raises(ValueError):
         E.evidence(make(0.0).where("false"), "id", "v", "l", "u")
+
+
+def test_evidence_takes_any_number_of_rows_in_blocks(spark):
+    import inspect
+
+    from fieldlake.operators import evidence as E
+
+    assert inspect.signature(E.evidence).parameters["most_rows"].default is None
+    rng = np.random.default_rng(3)
+    rows = [(i % 150, [float(v) for v in rng.normal(size=3) * [1, 100, 1] + 1.5 * np.eye(3)[i % 3]], "abc"[i % 3], f"u{i // 6}") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, l string, u string")
+    runs, names = E.evidence(df, "id", "v", "l", "u", repeats=2, permutations=20, block=40)
+    got = runs.collect()
+    x, y = np.array([r[1] for r in rows]), np.array(["abc".index(r[2]) for r in rows])
+    for n, r in enumerate(got[:2]):
+        folds = E.feasible_folds(df, "u", "l", 3, r["seed"])[0]
+        where = {f["u"]: f["fold"] for f in folds.select("u", "fold").distinct().collect()}
+        want = E.scores(y, E.out_of_fold_logits(x, y, np.array([where[q[3]] for q in rows]), 3))
+        assert r["kind"] == "repeat" and r["iteration"] == n and np.allclose(r[3:6], want[:3], atol=1e-12) and np.allclose(r["confusion"], want[3].ravel())
+    null = [r["balanced_accuracy"] for r in got[2:]]
+    assert len(null) == 20 and 0.25 < np.mean(null) < 0.42 and len(set(null)) > 10
+    assert got == E.evidence(df.repartition(3), "id", "v", "l", "u", repeats=2, permutations=20, block=40)[0].collect()

@@ -675,3 +675,19 @@ def test_components(spark):
     ids = {x for a, b in links if a != b for x in (a, b)}
     assert got == {i: c for i, c in reach(ids, [x for x in links if x[0] != x[1]]).items()}
     assert components(df.where("false"), Scratch(spark, "test")).count() == 0
+
+
+def test_line_dedup_leaves_no_table_of_lines_beside_the_last_join(spark):
+    from pathlib import Path
+
+    from fieldlake.llm import line_dedup as L
+    from fieldlake.llm import store
+
+    top = Path(store.shared_folder(spark).removeprefix("file://"))
+    before = set(top.glob("lines-*"))
+    rows = [(k, f"this line says number {k % 7} of the very same words\nand {k} is a line on its own, by {'abcdefg'[k % 7] * 9}") for k in range(40)]
+    found = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    (folder,) = set(top.glob("lines-*")) - before
+    left = [spark.read.parquet(str(p)).columns for p in folder.iterdir()]
+    assert ["row", "gone"] in left and not any("h" in columns for columns in left)
+    assert sum(r["n_removed"] for r in found.collect()) >= 39

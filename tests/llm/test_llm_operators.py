@@ -691,3 +691,25 @@ def test_line_dedup_leaves_no_table_of_lines_beside_the_last_join(spark):
     left = [spark.read.parquet(str(p)).columns for p in folder.iterdir()]
     assert ["row", "gone"] in left and not any("h" in columns for columns in left)
     assert sum(r["n_removed"] for r in found.collect()) >= 39
+
+
+def test_pairs_are_compared_in_their_first_key_only(monkeypatch):
+    import pyarrow as pa
+
+    from fieldlake.llm import line_dedup as L
+
+    rng = random.Random(5)
+    words, kinds = ["s0", "s1", *(f"n{k}" for k in range(6))], 16
+    halves = [[rng.choice([1, 2, 3]) for _ in range(kinds)] for _ in range(24)]
+    side = [{"v": v, "comp": v, "main": False, "centre": False, "chars": 30, "q0": 0, "q1": 0, "form": f"form {v}"} | {w: h[2 * k] | h[2 * k + 1] << 32 for k, w in enumerate(words)} for v, h in enumerate(halves)]
+    monkeypatch.setattr(L, "alike", lambda left, right: np.ones(len(left[0]), dtype=bool))
+    seen = collections.Counter()
+    monkeypatch.setattr(L, "similar", lambda a, b, percent, often=True: (seen.update(tuple(sorted(p)) for p in zip(a, b)), np.zeros(len(a), dtype=bool))[1])
+    kind = pa.list_(pa.struct([(c, pa.string() if c == "form" else pa.bool_() if c in ("main", "centre") else pa.int64()) for c in ("v", "comp", "main", "centre", "chars", *words, "q0", "q1", "form")]))
+    for turn in range(kinds):
+        for block in (1, 2, 3):
+            part = [x for x, h in zip(side, halves) if h[turn] == block]
+            batch = pa.RecordBatch.from_arrays([pa.array([part], type=kind), pa.array([part], type=kind), pa.array([turn << 32 | block])], names=["left", "right", "key"])
+            list(L._linked([batch], 80))
+    want = {tuple(sorted((f"form {v}", f"form {w}"))) for v in range(24) for w in range(v) if any(x == y for x, y in zip(halves[v], halves[w]))}
+    assert set(seen) == want and set(seen.values()) == {1}

@@ -713,3 +713,62 @@ def test_pairs_are_compared_in_their_first_key_only(monkeypatch):
             list(L._linked([batch], 80))
     want = {tuple(sorted((f"form {v}", f"form {w}"))) for v in range(24) for w in range(v) if any(x == y for x, y in zip(halves[v], halves[w]))}
     assert set(seen) == want and set(seen.values()) == {1}
+
+
+def test_pairs_too_different_in_their_symbols_are_not_aligned(monkeypatch):
+    from fieldlake.llm import line_dedup as L
+
+    rng = random.Random(21)
+    a = ["".join(rng.choices("abcdefgh é≥", k=rng.randint(0, 90))) for _ in range(150)]
+    b = ["".join(rng.choice("aé") if rng.random() < 0.15 else c for c in x) if rng.random() < 0.6 else "".join(rng.choices("abij", k=rng.randint(0, 90))) for x in a]
+    least, want = L.least_distance(a, b).tolist(), [distance(x, y) for x, y in zip(a, b)]
+    assert all(x <= y for x, y in zip(least, want)) and sum(least) * 2 > sum(want)
+    aligned = []
+    monkeypatch.setattr(L, "FEW", 1 << 30)
+    monkeypatch.setattr(L, "edit_distance", lambda x, y, most, f=L.edit_distance: (aligned.append((x, y)), f(x, y, most))[1])
+    assert L.similar(a, b, 80, often=False).tolist() == [similar_lines(x, y) for x, y in zip(a, b)]
+    far = sum(x * 5 > max(len(p), len(q)) for x, p, q in zip(least, a, b))
+    assert far > 20 and len(aligned) == len(a) - far
+
+
+def test_classes_and_partners_in_records(monkeypatch):
+    """What goes from task to task as bytes, against the same by dictionaries; parts are held one at a time."""
+    import pyarrow as pa
+
+    from fieldlake.llm import line_dedup as L
+
+    monkeypatch.setattr(L, "RECORDS_BYTES", 4096)
+    rng = random.Random(22)
+    lines = [prose(rng, n) for n in (5, 6, 9, 30) * 12] + ["été à la mer, où tout est calme et où rien ne bouge"]
+    rows = [(k % 2, k, rng.choice([None, 3, -1, k]), "\n".join(rng.choice([*lines, "", "x"]) + rng.choice(["", "", " one more word"]) for _ in range(rng.randint(0, 12)))) for k in range(60)]
+    kind = pa.struct([("file", pa.int64()), ("place", pa.int64())])
+    batches = [pa.RecordBatch.from_arrays([pa.array([{"file": r[0], "place": r[1]} for r in part], type=kind), pa.array([r[2] for r in part], type=pa.int64()), pa.array([r[3] for r in part])], names=["row", "id", "text"]) for part in (rows[:25], rows[25:])]
+    out = [x for b in L._lines(iter(batches), 20) for x in b.to_pylist()]
+    said = [((r[0], r[1]), r[2], n, line_form(x)) for r in rows for n, x in enumerate(r[3].split("\n")) if len(line_form(x)) >= 20]
+    found = {(x["row"]["file"], x["row"]["place"], x["line"]): (x["h"], x["g"]) for x in out if x["blob"] is None}
+    assert set(found) == {(*row, n) for row, _, n, _ in said}
+    hashes = {form: found[*row, n] for row, _, n, form in said}
+    assert len(set(hashes.values())) == len(hashes) and all(found[*row, n] == hashes[form] for row, _, n, form in said)
+
+    def dealt(records):
+        records = sorted(records, key=lambda x: x[0])
+        return iter([pa.RecordBatch.from_arrays([pa.array([x[0] for x in records], type=pa.int32()), pa.array([x[1] for x in records], type=pa.binary())], names=["part", "blob"])])
+
+    classes = [x for b in L._classes(dealt([(x["part"], x["blob"]) for x in out if x["blob"] is not None])) for x in b.to_pylist()]
+    first = {}
+    for row, id_, n, form in sorted(said, key=lambda x: (x[1] is None, x[1] or 0, x[0], x[2])):
+        first.setdefault(hashes[form], {"last": id_ is None, "id": id_, "row": {"file": row[0], "place": row[1]}, "line": n})
+    assert {(x["h"], x["g"]): x["first"] for x in classes} == first and len(classes) == len(first)
+    assert {(x["h"], x["g"]): x["chars"] for x in classes} == {h: len(form) for form, h in hashes.items()}
+
+    columns = [pa.array(range(len(classes))), *(pa.array([x[c] for x in classes]) for c in ("chars", *L._words))]
+    keyed = list(L._keys(iter([pa.RecordBatch.from_arrays(columns, names=["v", "chars", *L._words])])))
+    got = [(x["key"], x["v"]) for b in L._partners(dealt([(x["part"], x["blob"]) for b in keyed for x in b.to_pylist()]), 80) for x in b.to_pylist()]
+    sharing = collections.defaultdict(list)
+    for v, x in enumerate(classes):
+        for k in range(2 * len(L._words)):
+            sharing[(x[L._words[k // 2]] >> 32 * (k % 2)) & 0xFFFFFFFF | k << 32].append(v)
+    chars = [x["chars"] for x in classes]
+    want = {(key, v) for key, of in sharing.items() for v in of for w in of if v != w and 100 * min(chars[v], chars[w]) >= 80 * max(chars[v], chars[w])}
+    assert set(got) == want and len(got) == len(want) > 100
+    assert not list(L._lines(iter([]), 20)) and not list(L._partners(iter([]), 80))
